@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm.decontaminate import contamination
+from shelfwise.llm.jaccard_join import jaccard_components
+from shelfwise.llm.mixing import schedule
 from shelfwise.llm.secrets import find_secrets
+from shelfwise.llm.suffix_dedup import dedup_substrings
+from shelfwise.llm.token_files import token_index, write_token_files
+from shelfwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +63,25 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(c.n_hit, 0)
   coalesce(f.h, sha256('')) as items_sha256, coalesce(c.n_hit, 0) > 0 and 20 * coalesce(c.n_hit, 0) >= len(d.w) as contaminated
 from dw d left join covered c using (doc_id) left join found f using (doc_id)
 """
+
+
+@_query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_index(spark, path)
