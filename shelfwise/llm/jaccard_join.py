@@ -217,7 +217,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     rows without it are left out, rows that repeat id and text give one row each. Other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
 
     def of(h: np.ndarray) -> np.ndarray:

@@ -9,8 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm.decontaminate import contamination
+from shelfwise.llm.embedding_dedup import near_duplicates
 from shelfwise.llm.jaccard_join import jaccard_components
+from shelfwise.llm.language_crf import identify
+from shelfwise.llm.lm_scoring import lm_scores
 from shelfwise.llm.mixing import schedule
+from shelfwise.llm.quality_knn import classify
 from shelfwise.llm.secrets import find_secrets
 from shelfwise.llm.suffix_dedup import dedup_substrings
 from shelfwise.llm.token_files import token_index, write_token_files
@@ -85,3 +89,41 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_index(spark, path)
+
+
+@_query
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op4_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (
+  select a, b from links
+  union
+  select r.a, l.b from reach r join links l on l.a = r.b)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
+  least(e.vec_id, coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id)) as component_id,
+  e.vec_id <= coalesce((select min(b) from reach r where r.a = e.vec_id), e.vec_id) as kept
+from embeddings e where e.vec_id is not null
+"""
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

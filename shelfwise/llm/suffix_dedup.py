@@ -35,7 +35,8 @@ CHUNK = 1 << 20
 _U = np.uint64
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RUNS = "bucket int, h array<long>, same array<long>, doc array<long>, lo array<int>, n array<int>, off array<int>, gone array<boolean>"
-_RANGES = "bucket int, need boolean, doc array<long>, lo array<int>, n array<int>, off array<int>, h array<long>"
+_RANGES = "bucket int, doc array<long>, lo array<int>, n array<int>"
+_NEEDS = ", need_doc array<long>, need_lo array<int>, need_n array<int>, need_off array<int>, need_h array<long>"
 _PIECES = "bucket int, key array<long>, doc array<long>, lo array<int>, n array<int>, data binary"
 
 
@@ -163,7 +164,7 @@ def _tied(order: np.ndarray, new: np.ndarray, doc: np.ndarray, lo: np.ndarray) -
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
     """(texts by document bucket, lists of ranges by document bucket, number of buckets)."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -205,18 +206,17 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             twin = h[kinds][1:] == h[kinds][:-1]
             many[1:] |= twin
             many[:-1] |= twin
-        parts = []
-        for need, at in ((False, gone), (True, kinds[many])):
-            i32 = pa.int32()
-            batch = ts.dealt(ts.doc_bucket(doc[at], buckets), {"doc": (doc[at], pa.int64()), "lo": (lo[at], i32), "n": (n[at], i32), "off": (off[at], i32), "h": (h[at], pa.int64())})
-            parts.append(pa.Table.from_batches([batch.append_column("need", pa.array([need] * batch.num_rows, pa.bool_()))]).select(["bucket", "need", "doc", "lo", "n", "off", "h"]))
-        return pa.concat_tables(parts)
+        need = kinds[many]
+        i32, i64 = pa.int32(), pa.int64()
+        found = {"doc": (doc[gone], i64), "lo": (lo[gone], i32), "n": (n[gone], i32)}
+        wanted = {"need_doc": (doc[need], i64), "need_lo": (lo[need], i32), "need_n": (n[need], i32), "need_off": (off[need], i32), "need_h": (h[need], i64)}
+        return pa.Table.from_batches([ts.dealt_together([(ts.doc_bucket(doc[gone], buckets), found), (ts.doc_bucket(doc[need], buckets), wanted)])])
 
     def cut(_key: tuple, texts: pa.Table, needs: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("key", "doc", "lo", "n")}
         data = []
-        doc, h = ts.gathered(needs, "doc", np.int64), ts.gathered(needs, "h", np.int64)
-        lo, n, off = (ts.gathered(needs, k, np.int32).astype(np.int64) for k in ("lo", "n", "off"))
+        doc, h = ts.gathered(needs, "need_doc", np.int64), ts.gathered(needs, "need_h", np.int64)
+        lo, n, off = (ts.gathered(needs, k, np.int32).astype(np.int64) for k in ("need_lo", "need_n", "need_off"))
         if len(doc):
             row_of = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
             buf, offs = ts.text_parts(texts.column("text").combine_chunks())
@@ -271,16 +271,16 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             found.append(_later_windows(raw, start[at[a:b]], n[at[a:b]], doc[at[a:b]], lo[at[a:b]], length))
             a = b
         d, p = np.concatenate(found, axis=1)
-        batch = ts.dealt(ts.doc_bucket(d, buckets), {"doc": (d, pa.int64()), "lo": (p.astype(np.int32), pa.int32()), "n": (np.ones(len(d), np.int32), pa.int32()), "off": (np.zeros(len(d), np.int32), pa.int32()), "h": (np.zeros(len(d), np.int64), pa.int64())})
-        return pa.Table.from_batches([batch.append_column("need", pa.array([False] * batch.num_rows, pa.bool_()))]).select(["bucket", "need", "doc", "lo", "n", "off", "h"])
+        return pa.Table.from_batches([ts.dealt(ts.doc_bucket(d, buckets), {"doc": (d, pa.int64()), "lo": (p.astype(np.int32), pa.int32()), "n": (np.ones(len(d), np.int32), pa.int32())})])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     texts = source.withColumn("bucket", F.expr(ts.doc_bucket_sql("doc_id", buckets)))
     runs = source.mapInArrow(anchors, _RUNS)
-    first = settle(runs.groupBy("bucket").applyInArrow(merged, _RANGES), "ranges")
-    pieces = texts.groupBy("bucket").cogroup(first.where("need").groupBy("bucket")).applyInArrow(cut, _PIECES)
+    first = settle(runs.groupBy("bucket").applyInArrow(merged, _RANGES + _NEEDS), "ranges")
+    needs = first.select("bucket", "need_doc", "need_lo", "need_n", "need_off", "need_h").where("size(need_doc) > 0")
+    pieces = texts.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(cut, _PIECES)
     second = pieces.groupBy("bucket").applyInArrow(settled, _RANGES)
-    return texts, first.where("not need").unionByName(second), buckets
+    return texts, first.select("bucket", "doc", "lo", "n").where("size(doc) > 0").unionByName(second), buckets
 
 
 def _later_windows(raw: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
@@ -338,5 +338,4 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
         out = {"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "n_spans": pa.array(cols[3], pa.int64()), "kept_sha256": pa.array(cols[4], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[5], pa.binary())} if keep_text else {}))
 
-    ranges = ranges.select("bucket", "doc", "lo", "n")
     return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(apply, REPORT + (", kept binary" if keep_text else ""))

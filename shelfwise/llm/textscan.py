@@ -169,6 +169,17 @@ def dealt(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.DataType]]
     return pa.RecordBatch.from_pydict({"bucket": pa.array(there, pa.int32())} | {k: lists(v[order], sizes, t) for k, (v, t) in columns.items()})
 
 
+def dealt_together(parts: list[tuple[np.ndarray, dict[str, tuple[np.ndarray, pa.DataType]]]]) -> pa.RecordBatch:
+    """Like :func:`dealt` for several sets of values at once: still one row per bucket."""
+    there = np.unique(np.concatenate([bucket for bucket, _ in parts]))
+    out: dict[str, pa.Array] = {"bucket": pa.array(there, pa.int32())}
+    for bucket, columns in parts:
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.diff(np.append(np.searchsorted(bucket[order], there), len(bucket)))
+        out |= {k: lists(v[order], sizes, t) for k, (v, t) in columns.items()}
+    return pa.RecordBatch.from_pydict(out)
+
+
 def gathered(table: pa.Table | pa.RecordBatch, name: str, dtype: type) -> np.ndarray:
     """All values of a list column, in row order."""
     column = table.column(name)
