@@ -90,7 +90,7 @@ def event_rolls(assets: DataFrame, late: str = "1 hour") -> DataFrame:
             )
 
     rows = assets.select("library_id", "asset_id", F.col("creation_date").cast("timestamp").alias("ts"), "latitude", "longitude").withWatermark("ts", late)
-    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6)
+    rows = rows.withColumn("seconds", F.unix_micros("ts") / 1e6)
     return rows.groupBy("library_id").applyInPandasWithState(step, ROLLS, "ids array<long>, at array<double>, lat array<double>, lon array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
