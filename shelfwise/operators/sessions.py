@@ -86,5 +86,6 @@ def nearest_place(points: DataFrame, places: DataFrame, keys: list[str]) -> Data
 
 
 def parted(frame: pd.DataFrame) -> list[tuple]:
-    """Rows for :func:`split_rolls` of a pandas frame."""
+    """Rows for :func:`split_rolls` of a pandas frame; rows without an id only move the time on."""
+    frame = frame[frame.asset_id.notna()]
     return [(int(i), s, None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for i, s, a, b in zip(frame.asset_id, frame.seconds, frame.latitude, frame.longitude, strict=True)]
