@@ -249,7 +249,7 @@ def identify(docs: DataFrame, fold: int = 2) -> DataFrame:
     return predict(docs, train(docs, fold), fold)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, fold: int = 2) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3, fold: int = 2) -> DataFrame:
     """``docs`` without those whose language is unknown or less likely than ``least``; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, fold))
 
