@@ -30,7 +30,9 @@ DICTIONARY_IDS = 4_096
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Distinct pieces of so many bytes of text are tokenized at a time.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 12 << 20
+#: Pieces that a worker keeps, about 40 bytes each.
+CACHE_PIECES = 1 << 19
 SHARD_BYTES = 4 << 20
 SHARD_DOCS = 8_192
 
@@ -43,8 +45,31 @@ _SAFE[0x80:] = True
 _SAFE[[0xC2, 0xE1, 0xE2, 0xE3]] = False  # these lead bytes may start a space beyond ASCII
 
 
+def _cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the pieces of some rows."""
+    space = buf == 0x20
+    before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    before[1:] = _SAFE[buf[:-1]]
+    before[2:] &= ~((buf[1:-1] >= 0x80) & (buf[:-2] == 0xC2))
+    for lead in (0xE1, 0xE2, 0xE3):
+        before[3:] &= ~((buf[2:-1] >= 0x80) & (buf[:-3] == lead))
+    after[:-1] = _SAFE[buf[1:]]
+    after[(ends := offs[1:])[ends > 0] - 1] = False
+    begin = space & before & after
+    begin[offs[:-1][offs[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], len(buf))
+    return starts, ends, ts.range_hash(ts.prefix_sums(buf, fold=False), starts, ends)
+
+
+def _spread(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of runs [at, at + size), one after another."""
+    return np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Encoder:
-    """Whole texts to ids; every distinct word is put through the tokenizer once a batch.
+    """Whole texts to ids; every distinct word is put through the tokenizer once a batch, and words that come
+    again are kept for later batches of the same worker, up to CACHE_PIECES.
 
     Texts are cut before single spaces between characters that are certainly no white space. Byte-level
     tokenizers whose pre-tokenizer keeps a space with the word that follows never join ids across such a place.
@@ -59,32 +84,51 @@ class Encoder:
         self.size = max(vocab.values()) + 1
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
+        self.keys, self.at, self.size_of, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _known(self, key: np.ndarray, times: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each distinct piece, back to back, and how many each has; ``key`` is sorted."""
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        hit = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        miss = np.flatnonzero(~hit)
+        made, made_size = self._pieces(buf, starts[miss], ends[miss])
+        size = np.empty(len(key), np.int64)
+        size[hit], size[miss] = self.size_of[place[hit]], made_size
+        out = np.empty(int(size.sum()), np.uint32)
+        at = np.cumsum(size) - size
+        out[_spread(at[hit], size[hit])] = self.flat[_spread(self.at[place[hit]], size[hit])]
+        out[_spread(at[miss], made_size)] = made
+        again = miss[times[miss] > 1][: max(0, CACHE_PIECES - len(self.keys))]
+        if len(again):
+            keys = np.concatenate([self.keys, key[again]])
+            order = np.argsort(keys)
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size[again]) - size[again]])[order]
+            self.size_of = np.concatenate([self.size_of, size[again]])[order]
+            self.flat = np.concatenate([self.flat, out[_spread(at[again], size[again])]])
+            self.keys = keys[order]
+        return out, size
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, count of each row); every row ends with ``end``."""
         rows = len(offs) - 1
         if not len(buf):
             return np.full(rows, end, np.uint32), np.ones(rows, np.int64)
-        space = buf == 0x20
-        before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
-        before[1:] = _SAFE[buf[:-1]]
-        before[2:] &= ~((buf[1:-1] >= 0x80) & (buf[:-2] == 0xC2))
-        for lead in (0xE1, 0xE2, 0xE3):
-            before[3:] &= ~((buf[2:-1] >= 0x80) & (buf[:-3] == lead))
-        after[:-1] = _SAFE[buf[1:]]
-        after[(ends := offs[1:])[ends > 0] - 1] = False
-        begin = space & before & after
-        begin[offs[:-1][offs[:-1] < len(buf)]] = True
-        starts = np.flatnonzero(begin)
-        ends = np.append(starts[1:], len(buf))
-        key = ts.range_hash(ts.prefix_sums(buf, fold=False), starts, ends)
+        found, lo = [], 0
+        while lo < rows:  # hashes are taken of small runs of rows
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + ts.SLICE_BYTES, "right")) - 1)
+            a, b = int(offs[lo]), int(offs[hi])
+            if b > a:
+                starts, ends, key = _cut(buf[a:b], offs[lo : hi + 1] - a)
+                found.append((starts + a, ends + a, key))
+            lo = hi
+        starts, ends, key = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(key)
         sorted_key = key[order]
         new = np.append(True, sorted_key[1:] != sorted_key[:-1])
         which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(new) - 1
         one = order[new]
-        flat, size = self._pieces(buf, starts[one], ends[one])
+        flat, size = self._known(sorted_key[new], np.diff(np.append(np.flatnonzero(new), len(key))), buf, starts[one], ends[one])
         # the end of each row is one more piece
         flat = np.append(flat, np.uint32(end))
         size = np.append(size, 1)
