@@ -18,11 +18,22 @@ ROLL_SCHEMA = "library_id string, session long, members array<long>, start_at ti
 
 
 def by_gap(assets: DataFrame, gap_s: int = K.ROLL_GAP_S) -> DataFrame:
-    """Adds ``session``, a running number in each library; a gap of exactly ``gap_s`` continues."""
-    w = Window.partitionBy("library_id").orderBy("creation_date", "asset_id")
+    """Adds ``session``, a running number in each library; a gap of exactly ``gap_s`` continues.
+
+    Rows are ordered within days of a library only; days are stitched together by their last times and their
+    counts of sessions, so a library with a large share of all rows is many tasks. A missing date starts a
+    session of its own.
+    """
     at = epoch_us(F.col("creation_date"))
-    new = F.when(at - F.lag(at).over(w) <= gap_s * 1_000_000, 0).otherwise(1)
-    return assets.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    rows = assets.withColumn("at_", at).withColumn("day_", F.coalesce(F.floor(F.col("at_") / 86_400_000_000), F.lit(-1_000_000)))
+    days = Window.partitionBy("library_id").orderBy("day_")
+    last = rows.groupBy("library_id", "day_").agg(F.max("at_").alias("last_")).withColumn("last_", F.lag("last_").over(days))
+    w = Window.partitionBy("library_id", "day_").orderBy("creation_date", "asset_id")
+    rows = rows.join(last, ["library_id", "day_"]).withColumn("before_", F.when(F.row_number().over(w) == 1, F.col("last_")).otherwise(F.lag("at_").over(w)))
+    rows = rows.withColumn("new_", F.when(F.col("at_") - F.col("before_") <= gap_s * 1_000_000, 0).otherwise(1))
+    starts = rows.groupBy("library_id", "day_").agg(F.sum("new_").alias("n_")).select("library_id", "day_", F.coalesce(F.sum("n_").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_"))
+    rows = rows.withColumn("k_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(starts, ["library_id", "day_"])
+    return rows.select(*[F.col(c) for c in assets.columns], (F.col("offset_") + F.col("k_")).alias("session"))
 
 
 def haversine(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
