@@ -127,3 +127,23 @@ from embeddings e where e.vec_id is not null
 @_query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+SQL["op3_jaccard_join"] = r"""
+with recursive dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents where doc_id is not null),
+sets as (
+  select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 0) + 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+  from dw),
+sh as (select doc_id, len(s) as n, unnest(s) as x from sets),
+links as (
+  select a.doc_id as a, b.doc_id as b from sh a join sh b on a.x = b.x and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id as id, doc_id as low from sets
+  union
+  select l.b, r.low from reach r join links l on l.a = r.id where r.low < l.b)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.low as component_id
+from sets s join (select id, min(low) as low from reach group by id) r on r.id = s.doc_id
+"""
