@@ -23,6 +23,22 @@ def mean(px: Column) -> Column:
     return F.aggregate(px, F.lit(0.0), lambda s, x: s + x) / F.size(px)
 
 
+def luma_bt709(r: Column, g: Column, b: Column) -> Column:
+    """Brightness of red, green and blue in [0, 1]."""
+    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+
+
+def eye_aspect(points: Column) -> Column:
+    """Height to width of an eye's landmark points (structs x, y); 1 for fewer than four or a width of 0.01 or less."""
+    span = lambda k: F.array_max(F.transform(points, lambda p: p[k])) - F.array_min(F.transform(points, lambda p: p[k]))
+    return F.when((F.coalesce(F.size(points), F.lit(0)) >= 4) & (span("x") > 0.01), span("y") / span("x")).otherwise(1.0)
+
+
+def face_rect(box: Column, w: Column, h: Column) -> Column:
+    """A normalized box counted from the bottom left as pixels counted from the top left."""
+    return F.struct((box["x"] * w).alias("x"), ((1.0 - box["y"] - box["h"]) * h).alias("y"), (box["w"] * w).alias("w"), (box["h"] * h).alias("h"))
+
+
 def laplacian(grid: np.ndarray) -> np.ndarray:
     """4-neighbour Laplacian of the interior; row y, column x of it belong to pixel (y + 1, x + 1)."""
     return 4 * grid[1:-1, 1:-1] - grid[:-2, 1:-1] - grid[2:, 1:-1] - grid[1:-1, :-2] - grid[1:-1, 2:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,6 +77,17 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in (head.names or [])}
 
 
+SNAPSHOT = "version int, saved_at double, groups array<struct<ids: array<long>, similarity: double, reason: string>>, blurry array<long>, screenshots array<long>, large_ids array<long>, large_sizes array<long>"
+
+
+def decode_snapshot(document: str = "document") -> Column:
+    """A snapshot document as a struct; lists that an older version lacks are empty."""
+    raw = F.from_json(document, SNAPSHOT)
+    lists = ("groups", "blurry", "screenshots", "large_ids", "large_sizes")
+    types = {"groups": "array<struct<ids: array<long>, similarity: double, reason: string>>"}
+    return F.struct(raw["version"].alias("version"), raw["saved_at"].alias("saved_at"), *[F.coalesce(raw[x], F.array().cast(types.get(x, "array<long>"))).alias(x) for x in lists])
+
+
 def rebuild(groups: DataFrame, assets: DataFrame) -> DataFrame:
     """Groups over the assets that still exist: unknown reasons go, and what has fewer than two members left."""
     rows = groups.where(F.col("reason").isin(*REASONS)).select("library_id", "group_id", "reason", F.posexplode("members").alias("pos", "asset_id"))

@@ -239,3 +239,16 @@ def test_rebuild_drops_unknown_and_small(spark):
     g = spark.createDataFrame([("L", 1, "exactDuplicate", [3, 1, 2]), ("L", 4, "other", [1, 2]), ("L", 5, "burstShot", [1, 9])], "library_id string, group_id long, reason string, members array<long>")
     got = review.rebuild(g, spark.createDataFrame([(1,), (3,)], "asset_id long")).collect()
     assert [(r.group_id, r.members) for r in got] == [(1, [3, 1])]
+
+
+def test_snapshot_defaults(spark):
+    row = spark.createDataFrame([('{"version": 2, "blurry": [4], "groups": [{"ids": [1, 2], "reason": "burstShot"}]}',)], "document string").select(review.decode_snapshot().alias("s")).first().s
+    assert (row.version, row.blurry, row.screenshots, row.large_sizes, row.groups[0].ids) == (2, [4], [], [], [1, 2])
+
+
+def test_eyes_and_boxes(spark):
+    p = "array<struct<x double, y double>>"
+    wide = [(0.0, 0.0), (1.0, 0.0), (0.5, 0.1), (0.5, 0.0)]
+    assert column(spark, [wide, wide[:3], [(0.0, 0.0)] * 4, None], p, image.eye_aspect) == [0.1, 1.0, 1.0, 1.0]
+    row = spark.createDataFrame([((0.25, 0.25, 0.5, 0.5),)], "b struct<x double, y double, w double, h double>").select(image.face_rect(F.col("b"), F.lit(16), F.lit(8)).alias("r"), image.luma_bt709(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("l")).first()
+    assert tuple(row.r) == (4.0, 2.0, 8.0, 4.0) and row.l == 1.0
