@@ -30,7 +30,7 @@ DICTIONARY_IDS = 4_096
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Distinct pieces of so many bytes of text are tokenized at a time.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 2 << 20
 #: Pieces that a worker keeps, about 40 bytes each.
 CACHE_PIECES = 1 << 19
 SHARD_BYTES = 4 << 20
