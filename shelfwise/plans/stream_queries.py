@@ -18,11 +18,14 @@ from shelfwise.streaming import jobs
 FILES = 4
 
 
-def _stream(t: Tables, rows: DataFrame, order: str) -> tuple[DataFrame, str]:
-    """The rows as files that arrive in order, and a folder for the job."""
+def _stream(t: Tables, rows: DataFrame, order: str, files: int = 1) -> tuple[DataFrame, str]:
+    """The rows as files that arrive one after another, in no certain order, and a folder for the job.
+
+    Jobs over event time take all files at once, or what comes in late would be dropped.
+    """
     path = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     rows.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(f"{path}/in")
-    return jobs.source(t.spark, f"{path}/in", rows, 1), path
+    return jobs.source(t.spark, f"{path}/in", rows, files), path
 
 
 def _closed(t: Tables, rows: DataFrame) -> tuple[DataFrame, str]:
@@ -50,13 +53,13 @@ def stream_affinity(t: Tables) -> DataFrame:
 
 @query("select library_id, time_bucket(interval '15 minutes', creation_date) as start_at, count(*) as n from assets group by 1, 2")
 def stream_windowed_intake(t: Tables) -> DataFrame:
-    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date")
+    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 100)
     return jobs.drain(jobs.windowed_intake(stream), path, "complete")
 
 
 @query("with s as (select *, case when epoch_us(creation_date) - lag(epoch_us(creation_date)) over w <= 1800000000 then 0 else 1 end as f from assets window w as (partition by library_id order by creation_date, asset_id)), x as (select *, sum(f) over (partition by library_id order by creation_date, asset_id rows unbounded preceding) as session from s) select library_id, min(creation_date) as start_at, max(creation_date) as end_at, count(*) as n from x group by library_id, session")
 def stream_event_sessions(t: Tables) -> DataFrame:
-    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date")
+    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 100)
     return jobs.drain(jobs.event_sessions(stream), path, "complete")
 
 

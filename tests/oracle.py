@@ -5,8 +5,6 @@ import decimal
 import os
 
 import duckdb
-import numpy as np
-import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,20 +18,22 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(v):
-    if isinstance(v, list | tuple | np.ndarray):
+    if isinstance(v, dict) or hasattr(v, "asDict"):
+        return str([plain(x) for x in (v.asDict() if hasattr(v, "asDict") else v).values()])
+    if isinstance(v, list | tuple):
         return str([plain(x) for x in v])
-    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
+    if v is None or (isinstance(v, float) and v != v):
         return "null"
-    if isinstance(v, bool | np.bool_):
-        return str(bool(v))
-    if isinstance(v, int | np.integer):
-        return str(int(v))
-    if isinstance(v, float | np.floating | decimal.Decimal):
+    if isinstance(v, float | decimal.Decimal) and not isinstance(v, bool):
         return f"{float(v) + 0.0:.9g}"
-    if isinstance(v, datetime.date | pd.Timestamp):
-        return str(pd.Timestamp(v))
+    if isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 53:
+        return str(v)
+    if isinstance(v, datetime.date):
+        return v.isoformat()
     return str(v)
 
 
-def rows(frame: pd.DataFrame) -> list[tuple]:
-    return sorted(tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
+def rows(names: list[str], values: list) -> list[tuple]:
+    """Rows with columns by name, in a fixed order; whole floats equal integers."""
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(plain(int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53 else v) for v in (r[i] for i in order)) for r in values)
