@@ -161,6 +161,12 @@ def _tied(order: np.ndarray, new: np.ndarray, doc: np.ndarray, lo: np.ndarray) -
     return (doc[order] == doc[order][first]) & (lo[order] == lo[order][first])
 
 
+def _none(schema: str) -> pa.Table:
+    """An empty table of a schema in SQL words."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.table({k: pa.array([], kinds[t]) for k, t in (x.split(" ") for x in schema.split(", "))})
+
+
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
     """(texts by document bucket, lists of ranges by document bucket, number of buckets)."""
     spark = docs.sparkSession
@@ -213,39 +219,42 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
         return pa.Table.from_batches([ts.dealt_together([(ts.doc_bucket(doc[gone], buckets), found), (ts.doc_bucket(doc[need], buckets), wanted)])])
 
     def cut(_key: tuple, texts: pa.Table, needs: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("key", "doc", "lo", "n")}
-        data = []
+        """Pieces of the runs whose bytes are wanted; texts are gone through a few hundred KB at a time."""
+        row_of = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
         doc, h = ts.gathered(needs, "need_doc", np.int64), ts.gathered(needs, "need_h", np.int64)
         lo, n, off = (ts.gathered(needs, k, np.int32).astype(np.int64) for k in ("need_lo", "need_n", "need_off"))
-        if len(doc):
-            row_of = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
-            buf, offs = ts.text_parts(texts.column("text").combine_chunks())
+        row = np.array([row_of.get(d, -1) for d in doc.tolist()], np.int64)
+        order = np.argsort(row, kind="stable")
+        row, doc, h, lo, n, off = (x[order] for x in (row, doc, h, lo, n, off))
+        found: list[tuple[np.ndarray, ...]] = []
+        raw: list[bytes] = []
+        for first, end, buf, offs in ts.slices(texts.column("text").combine_chunks()):
+            a, b = np.searchsorted(row, [first, end])
+            if b == a:
+                continue
             sums = ts.prefix_sums(buf, fold=False)
-            base = offs[[row_of[d] for d in doc.tolist()]] + lo
+            base = offs[row[a:b] - first] + lo[a:b]
             # a piece holds the windows at which the anchor is PIECE * j to PIECE * j + PIECE - 1 bytes in
-            last = off - n + 1
-            j_hi, j_lo = off // PIECE, last // PIECE
-            reps = j_hi - j_lo + 1
-            src = np.repeat(np.arange(len(doc)), reps)
-            j = j_hi[src] - (np.arange(len(src)) - np.repeat(np.cumsum(reps) - reps, reps))
-            o_hi, o_lo = np.minimum(off[src], PIECE * j + PIECE - 1), np.maximum(last[src], PIECE * j)
-            start = base[src] + off[src] - o_hi
-            core = base[src] + off[src] - PIECE * j
-            key = ts.chain([h[src].view(np.uint64), j.astype(np.uint64), ts.range_hash(sums, core, core + length - PIECE + 1)])
-            count = o_hi - o_lo + 1
-            out = {"key": key.view(np.int64), "doc": doc[src], "lo": (lo[src] + off[src] - o_hi).astype(np.int32), "n": count.astype(np.int32)}
-            bucket = (ts.mix(key) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            batch = ts.dealt(bucket, {"key": (out["key"], pa.int64()), "doc": (out["doc"], pa.int64()), "lo": (out["lo"], pa.int32()), "n": (out["n"], pa.int32())})
-            raw = buf.tobytes()
-            pieces = [raw[a:b] for a, b in zip(start[order].tolist(), (start + count - 1 + length)[order].tolist(), strict=True)]
-            sizes = np.unique(bucket[order], return_counts=True)[1]
-            k = 0
-            for s in sizes.tolist():
-                data.append(b"".join(pieces[k : k + s]))
-                k += s
-            return pa.Table.from_batches([batch.append_column("data", pa.array(data, pa.binary()))])
-        return pa.table({"bucket": pa.array([], pa.int32()), "key": pa.array([], pa.list_(pa.int64())), "doc": pa.array([], pa.list_(pa.int64())), "lo": pa.array([], pa.list_(pa.int32())), "n": pa.array([], pa.list_(pa.int32())), "data": pa.array([], pa.binary())})
+            o_max, o_min = off[a:b], off[a:b] - n[a:b] + 1
+            reps = o_max // PIECE - o_min // PIECE + 1
+            src = np.repeat(np.arange(b - a), reps)
+            j = o_max[src] // PIECE - (np.arange(len(src)) - np.repeat(np.cumsum(reps) - reps, reps))
+            o_hi, o_lo = np.minimum(o_max[src], PIECE * j + PIECE - 1), np.maximum(o_min[src], PIECE * j)
+            core = base[src] + o_max[src] - PIECE * j
+            key = ts.chain([h[a:b][src].view(np.uint64), j.astype(np.uint64), ts.range_hash(sums, core, core + length - PIECE + 1)])
+            count, start = o_hi - o_lo + 1, base[src] + o_max[src] - o_hi
+            found.append((key, doc[a:b][src], (lo[a:b][src] + o_max[src] - o_hi).astype(np.int32), count.astype(np.int32)))
+            text = buf.tobytes()
+            raw += [text[x:y] for x, y in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)]
+        if not found:
+            return _none(_PIECES)
+        key, doc, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = (ts.mix(key) % _U(buckets)).astype(np.int32)
+        batch = ts.dealt(bucket, {"key": (key.view(np.int64), pa.int64()), "doc": (doc, pa.int64()), "lo": (lo, pa.int32()), "n": (n, pa.int32())})
+        order = np.argsort(bucket, kind="stable").tolist()
+        cuts = np.append(0, np.cumsum(np.unique(bucket, return_counts=True)[1])).tolist()
+        data = [b"".join(raw[k] for k in order[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        return pa.Table.from_batches([batch.append_column("data", pa.array(data, pa.binary()))])
 
     def settled(table: pa.Table) -> pa.Table:
         key, doc = ts.gathered(table, "key", np.int64), ts.gathered(table, "doc", np.int64)
