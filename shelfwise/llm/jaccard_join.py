@@ -34,6 +34,9 @@ CHUNK = 1 << 20
 #: Rows of ids that may be broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 LEAF = 16
+#: Buckets of keys that are searched together: few keys are still open by then, and a pair that shares several of
+#: them is then given out once.
+TOGETHER = 16
 
 _U = np.uint64
 
@@ -344,4 +347,4 @@ def _searched(docs: DataFrame, inside: DataFrame, size: int, percent: int) -> Da
 
     ids = settle(inside.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     grid = _of_ids(docs, ids).mapInArrow(points, "rep long, point array<int>").dropDuplicates(["rep"])
-    return inside.join(grid, "rep").groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
+    return inside.join(grid, "rep").withColumn("bucket", F.expr(f"bucket div {TOGETHER}")).groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
