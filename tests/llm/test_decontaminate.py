@@ -66,3 +66,28 @@ def test_odd_rows(spark):
     assert got == [(0, 2, 2, True), (1, 2, 2, True), (1, 2, 2, True), (2, 0, 0, False), (3, 0, 0, False)]
     assert D.contamination(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert D.contamination(clash, bench.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 200])
+def test_slices_are_judged_together(spark, limit):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdfg", k=9))
+    items = [(i, " ".join(word() for _ in range(13))) for i in range(12)]
+    far = [" ".join(word() for _ in range(200)) for _ in range(3)]
+    rows = [(i, f"{far[0]} {items[i][1]} {far[1]} {items[i + 6][1]} {far[2][:190]}", "en", "s", 1) for i in range(6)]  # 13 words are too few alone, 26 are enough
+    rows += [rows[0], (None, rows[1][1], "en", "s", 1), (50, far[0] + " " + items[3][1] + " " + far[1], "en", "s", 1), (51, None, "en", "s", 1), (52, items[0][1] + " x", "en", "s", 1)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain([(i, r[1]) for i, r in enumerate(rows)], items)
+    assert want[0][3] and not want[8][3]
+    got = D.contamination(frame(spark, rows), bench, limit=limit).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == sorted((str(r[0]), *want[i]) for i, r in enumerate(rows))
+    kept = D.decontaminate(frame(spark, rows), bench, limit=limit)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for i, r in enumerate(rows) if not want[i][3]), key=str)
+    cut = D.decontaminate(frame(spark, rows), bench, remove="spans", limit=limit)
+
+    def without(i, text):
+        for _, t in items if want[i][3] else []:
+            text = text.replace(t, " " * 12)
+        return text
+
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted(((r[0], without(i, r[1]), *r[2:]) for i, r in enumerate(rows)), key=str)
