@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from shelfwise.llm import textscan as ts
 
 #: Labelled documents a language that the model is fitted on, chosen by hash over the whole table, and the
-#: chains taken of each. The bounds hold at any size of the table.
+#: chains taken of each. The bounds hold at any size of the table. All languages are learned; beyond ``MANY`` the
+#: documents of each are fewer, down to ``LEAST_DOCS``, and texts are labelled in smaller pieces.
 DOCS_PER_LANG = 600
+LEAST_DOCS = 20
+MANY = 64
 CHAINS_PER_DOC = 6
 #: Words of a chain; longer texts are cut into chains.
 CHAIN = 64
-LANGS = 64
 BITS = 18
 AFFIX = 4
 LEXICON = 4_000
@@ -115,15 +117,27 @@ def _learned(docs: DataFrame, fold: int) -> DataFrame:
     return docs.where(f"doc_id is not null and lang is not null and text is not null and pmod(crc32(cast(doc_id as string)), 4) <> {fold}")
 
 
+def docs_per_lang(langs: int) -> int:
+    """Documents of each language, so that a fit of many costs about as much as one of ``MANY``."""
+    return DOCS_PER_LANG if langs <= MANY else max(LEAST_DOCS, DOCS_PER_LANG * MANY**2 // langs**2)
+
+
+def _bytes(model: Chain | None) -> int:
+    """Bytes of text that are labelled at a time."""
+    return ts.SLICE_BYTES * MANY // max(MANY, len(model.langs) if model else 0)
+
+
 def train(docs: DataFrame, fold: int = 2, seed: int = 11) -> Chain | None:
     """Fit on a bounded sample of labelled documents outside the fold; null if there is none."""
     known = _learned(docs, fold)
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
     wide = 1_000_000
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(wide, -(-wide * DOCS_PER_LANG // n)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < rate[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    each = docs_per_lang(len(counts))
+    rates = docs.sparkSession.createDataFrame([(lang, min(wide, -(-wide * each // n))) for lang, n in counts.items()], "lang string, rate long")
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(wide)).alias("at"))
+    chosen = known.join(F.broadcast(rates), "lang").where("at < rate").select("doc_id", "lang", "text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +159,8 @@ def train(docs: DataFrame, fold: int = 2, seed: int = 11) -> Chain | None:
 
 def _fit(rows: list[tuple[str, str]], langs: list[str], seed: int) -> Chain:
     k = len(langs)
-    label = np.array([langs.index(x) for x, _ in rows])
+    number = {x: i for i, x in enumerate(langs)}
+    label = np.array([number[x] for x, _ in rows])
     buf, offs = ts.text_parts(pa.array([x for _, x in rows], pa.string()))
     starts, ends, chain = ts.words(buf, offs, LETTERS)
     sums = ts.prefix_sums(buf)
@@ -216,6 +231,22 @@ def label_words(model: Chain, buf: np.ndarray, offs: np.ndarray) -> tuple[np.nda
     return gamma[inside], starts, ends, first
 
 
+def _languages(model: Chain | None, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    rows = len(offs) - 1
+    lang, score = [UNKNOWN] * rows, np.zeros(rows)
+    if model is not None:
+        p, _, _, first = label_words(model, buf, offs)
+        n = np.diff(first)
+        some = np.flatnonzero(n)
+        mean = np.add.reduceat(p, first[some], axis=0) / n[some][:, None] if len(some) else np.empty((0, 1))
+        plain = np.append(0, np.cumsum((buf < 128) & LETTERS[buf]))
+        for r, m in zip(some.tolist(), mean, strict=True):
+            if plain[offs[r + 1]] > plain[offs[r]] or any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode()):
+                lang[r], score[r] = model.langs[int(m.argmax())], min(1.0, float(m.max()))
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Chain | None, fold: int = 2) -> DataFrame:
     """Language and its probability, averaged over the words of each whole text.
 
@@ -227,17 +258,8 @@ def predict(docs: DataFrame, model: Chain | None, fold: int = 2) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for lo, hi, buf, offs in ts.slices(batch.column("text")):
-                lang, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
-                if model is not None:
-                    p, _, _, first = label_words(model, buf, offs)
-                    n = np.diff(first)
-                    some = np.flatnonzero(n)
-                    mean = np.add.reduceat(p, first[some], axis=0) / n[some][:, None] if len(some) else np.empty((0, 1))
-                    plain = np.append(0, np.cumsum((buf < 128) & LETTERS[buf]))
-                    for r, m in zip(some.tolist(), mean, strict=True):
-                        if plain[offs[r + 1]] > plain[offs[r]] or any(c.isalpha() for c in buf[offs[r] : offs[r + 1]].tobytes().decode()):
-                            lang[r], score[r] = model.langs[int(m.argmax())], min(1.0, float(m.max()))
+            for lo, hi, buf, offs in ts.slices(batch.column("text"), _bytes(model)):
+                lang, score = _languages(model, buf, offs)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[lo:hi], "held_out": batch.column("held_out")[lo:hi], "lang_pred": lang, "score": score})
 
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == fold, F.lit(True))
@@ -249,25 +271,19 @@ def identify(docs: DataFrame, fold: int = 2) -> DataFrame:
     return predict(docs, train(docs, fold), fold)
 
 
-def keep_known(docs: DataFrame, least: float = 0.3, fold: int = 2) -> DataFrame:
-    """``docs`` without those whose language is unknown or less likely than ``least``; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, fold))
+def keep_known(docs: DataFrame, fold: int = 2) -> DataFrame:
+    """``docs`` without those that ``identify`` calls ``und``; all columns stay. If nothing was learned, all stay."""
+    model = train(docs, fold)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for lo, hi, buf, offs in ts.slices(batch.column("text")):
-                keep = np.zeros(hi - lo, bool)
-                if model is not None:
-                    p, _, _, first = label_words(model, buf, offs)
-                    n = np.diff(first)
-                    some = np.flatnonzero(n)
-                    if len(some):
-                        keep[some] = (np.add.reduceat(p, first[some], axis=0) / n[some][:, None]).max(1) >= least
-                    for r in np.flatnonzero(keep).tolist():
-                        part = buf[offs[r] : offs[r + 1]]
-                        keep[r] = bool(((part < 128) & LETTERS[part]).any()) or any(c.isalpha() for c in part.tobytes().decode())
-                out = batch.slice(lo, hi - lo).filter(pa.array(keep))
+            for lo, hi, buf, offs in ts.slices(batch.column("text"), _bytes(model)):
+                lang, _ = _languages(model, buf, offs)
+                out = batch.slice(lo, hi - lo).filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
                 if out.num_rows:
                     yield out
 

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -103,3 +104,23 @@ def test_odd_quality(spark):
     assert len(got) == 63 and got[9_001].score == got[9_002].score and 0 < got[9_001].score < 1 and got[None].held_out
     assert {r.score for r in Q.classify(d, labels.limit(0)).collect()} == {0.5}
     assert Q.classify(d.limit(0), labels).count() == 0
+
+
+def test_all_languages_are_learned(spark):
+    rng = random.Random(6)
+    n = 70
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(8)] for k in range(n)}
+    rows = [(i, " ".join(rng.choices(words[f"l{i % n:02}"], k=12)), f"l{i % n:02}", None, 0) for i in range(n * 14)]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    right = Counter(r[2] for r in rows if got[r[0]].lang_pred == r[2])
+    assert len(got) == len(rows) and len(right) == n and sum(right.values()) > 0.95 * len(rows)
+
+
+def test_known_documents_stay(spark):
+    mixed = [(9_000 + i, " ".join(w for r in docs(40)[i : i + 4] for w in r[1].split()[:9]), None, None, 0) for i in range(9)]
+    rows = [*docs(200), *mixed, (9_100, "qqq zzz xxx", None, None, 0), (9_101, "1 2", None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = {r.doc_id for r in L.identify(df).collect() if r.lang_pred != "und"}
+    assert {r.doc_id for r in L.keep_known(df).collect()} == known == {r[0] for r in rows} - {9_101}
+    nothing = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    assert L.keep_known(nothing).count() == len(rows)
