@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import settle
+from shelfwise.session import drop, settle
 
 
 def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,14 +13,15 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
 
     Ids may be numbers or strings; self pairs make single-node components, rows with a null are left out. Each
     round takes partial minima a node before the shuffle and joins them back, so a node with a large share of
-    all pairs is an ordinary skewed join; rounds are cut off from each other by a written table.
+    all pairs is an ordinary skewed join; rounds are cut off from each other by a written table, and so is the result.
     """
     both = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = both.where("u = v").select(F.col("u").alias("id"))
     edges = settle(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = settle(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, settle(_small_star(_large_star(edges)), "stars")
+        drop(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
@@ -29,7 +30,9 @@ def connected_components(pairs: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("id")).union(loops).distinct().withColumn("component", F.col("id"))
-    return found.union(roots).groupBy("id").agg(F.min("component").alias("component"))
+    out = settle(found.union(roots).groupBy("id").agg(F.min("component").alias("component")), "components")
+    drop(edges)
+    return out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

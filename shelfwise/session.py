@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "shelfwise") -> SparkSession:
@@ -26,10 +27,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a single machine) a temporary folder is set.
+    Only where a single machine names none (tests) a temporary folder is set; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,7 +44,22 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop(*settled: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote, once nothing that is still to run reads them."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def deals(docs: DataFrame, column: str = "text", each: int = 16 << 20) -> int:
+    """Into how many parts to deal rows of text: as many as hold about ``each`` bytes, twice the shuffle's at least."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(2 * partitions(docs.sparkSession), -(-size // each))
 
 
 def partitions(spark: SparkSession) -> int:
