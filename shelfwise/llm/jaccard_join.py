@@ -6,8 +6,10 @@ same shingles in both: such equal groups bring candidates together without loss.
 their points in an R-tree; the sum of coordinate minima bounds the overlap, and survivors are verified on
 their full sets.
 
-Copies are merged first. A group of near copies is not expanded into pairs: every document is verified
-against one leader of its candidates, and only candidates left in different components are searched further.
+Copies are merged first. A group of near copies is not expanded into pairs: every document is compared with one
+leader of its candidates. Candidates left in different components are searched in the R-tree; of the pairs that the
+bound lets through, a search gives out a forest over the components at most, and once those are verified, what is still
+open is searched and verified on full sets in one place, which again gives out a forest.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textscan as ts
 from shelfwise.operators.components import connected_components
-from shelfwise.session import fits, partitions, settle
+from shelfwise.session import deals, drop, fits, settle
 
 SHINGLE = 4
 PERCENT = 85
@@ -34,9 +36,11 @@ CHUNK = 1 << 20
 #: Rows of ids that may be broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 LEAF = 16
-#: Buckets of keys that are searched together: few keys are still open by then, and a pair that shares several of
-#: them is then given out once.
-TOGETHER = 16
+#: Rows of candidates that are searched in one task. A key with more is dealt as pairs of blocks.
+BLOCK = 4_096
+TASK_ROWS = 20_000
+#: Rows with full sets in one task.
+SET_ROWS = 4_000
 
 _U = np.uint64
 
@@ -109,13 +113,82 @@ def group_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def point(shingles: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """How many shingles fall into each of ``dims`` groups."""
     return np.bincount(((shingles >> _U(32)) * _U(dims) >> _U(32)).astype(np.int64), minlength=dims).astype(np.int32)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The point of a set in as many groups as the power of two that its size reaches, at least DIMS; a byte a group."""
+    return np.minimum(point(shingles, max(DIMS, 1 << max(0, len(shingles).bit_length() - 1))), 255).astype(np.uint8).tobytes()
+
+
 def enough(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
 
+class Sketches:
+    """Group counts of some sets. Coarser groups are sums of finer ones, so any two sets can be compared."""
+
+    def __init__(self, data: list[bytes], size: np.ndarray):
+        self.size = size
+        self.groups = np.array([len(x) for x in data], np.int64)
+        self.place = np.zeros(len(data), np.int64)
+        self.points = np.zeros((len(data), DIMS), np.int32)
+        self.excess = np.zeros(len(data), np.int64)  # what a byte could not hold
+        self.grids: dict[int, np.ndarray] = {}
+        for g in np.unique(self.groups).tolist():
+            at = np.flatnonzero(self.groups == g)
+            grid = np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(-1, g)
+            self.grids[g], self.place[at] = grid, np.arange(len(at))
+            self.points[at] = grid.reshape(len(at), DIMS, -1).sum(2, dtype=np.int32)
+            self.excess[at] = size[at] - self.points[at].sum(1)
+        self.points[:, 0] += self.excess.astype(np.int32)  # so that a point sums to the size
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Upper bound on what sets a[i] and b[i] have in common: the sum of the minima of their group counts."""
+        out = np.zeros(len(a), np.int64)
+        coarse = np.minimum(self.groups[a], self.groups[b])
+        kind = self.groups[a] * (1 << 32) + self.groups[b]
+        for k in np.unique(kind):
+            at = np.flatnonzero(kind == k)
+            g = int(coarse[at[0]])
+            step = max(1, (1 << 22) // g)
+            for lo in range(0, len(at), step):
+                e = at[lo : lo + step]
+                x, y = (self.grids[int(self.groups[s[0]])][self.place[s]].reshape(len(e), g, -1).sum(2, dtype=np.int32) for s in (a[e], b[e]))
+                out[e] = np.minimum(x, y).sum(1)
+        return out + np.minimum(self.excess[a], self.excess[b])
+
+
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+    """Which edges (a, b) make a forest of greatest weight over ``count`` nodes, by rounds of best edges."""
+    label = np.arange(count)
+    order = np.lexsort((b, a, -weight))  # a total order, so that best edges make no circle
+    a, b = a[order], b[order]
+    taken = []
+    live = np.flatnonzero(a != b)
+    while len(live):
+        ends, edge = np.concatenate([label[a[live]], label[b[live]]]), np.concatenate([live, live])
+        best = np.full(count, len(a))
+        np.minimum.at(best, ends, edge)
+        pick = np.unique(best[best < len(a)])
+        taken.append(pick)
+        x, y = label[a[pick]], label[b[pick]]
+        to = np.arange(count)
+        while True:
+            low = np.minimum(to[x], to[y])
+            new = to.copy()
+            np.minimum.at(new, x, low)
+            np.minimum.at(new, y, low)
+            new = new[new]
+            if np.array_equal(new, to):
+                break
+            to = new
+        label = to[label]
+        live = live[label[a[live]] != label[b[live]]]
+    return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
+
+
 class CountTree:
     """R-tree over count vectors, packed bottom-up; boxes keep upper corners and least sizes."""
 
@@ -188,40 +261,77 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Arr
             yield batch.column("doc_id")[lo:hi], shingle_sets(buf, offs, size)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their full sets."""
-    pairs = settle(pairs, "pairs")
-    ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What each pair of sets has in common; ``x`` and ``y`` are (values back to back, size of each set)."""
+    pair = np.concatenate([np.repeat(np.arange(len(n)), n) for _, n in (x, y)])
+    value = np.concatenate([x[0], y[0]])
+    order = np.lexsort((value, pair))
+    same = (value[order][1:] == value[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+    return np.bincount(pair[order][1:][same], minlength=len(x[1]))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _set_table(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of some documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, found in _sets(batches, size):
-            yield pa.RecordBatch.from_pydict({"doc_id": doc_ids, "shingles": ts.lists(np.concatenate(found).view(np.int64), np.array([len(x) for x in found]), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"rep": doc_ids, "shingles": ts.lists(np.concatenate(found).view(np.int64), np.array([len(x) for x in found]), pa.int64())})
+
+    return _of_ids(docs, ids).mapInArrow(sets, "rep long, shingles array<long>")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The settled ``pairs`` (a, b) that link, by their full sets."""
+    ids = settle(_ends(pairs), "ids")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                keep[i] = enough(int((both[1:] == both[:-1]).sum()), len(p), len(q), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                x, y = _flat(part.column("x")), _flat(part.column("y"))
+                yield part.select(["a", "b"]).filter(pa.array(enough(common(x, y), x[1], y[1], percent)))
+
+    known = settle(_set_table(docs, ids, size), "sets")
+    left = known.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    right = known.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    links = settle(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long").distinct(), "links")
+    drop(known, ids)
+    return links
 
-    known = settle(_of_ids(docs, ids).mapInArrow(sets, "doc_id long, shingles array<long>"), "sets")
-    left = known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return settle(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long").distinct(), "links")
 
+def _within_bound(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose group counts may overlap enough."""
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                size = np.concatenate([batch.column(k).to_numpy() for k in ("m", "n")]).astype(np.int64)
+                both = Sketches(batch.column("x").to_pylist() + batch.column("y").to_pylist(), size)
+                yield batch.select(["a", "b"]).filter(pa.array(enough(both.overlap(np.arange(n), np.arange(n, 2 * n)), size[:n], size[n:], percent)))
+
+    left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("m"), F.col("counts").alias("x"))
+    right = sketches.select(F.col("rep").alias("b"), "n", F.col("counts").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Set size and component of every document, linked at ``percent`` of Jaccard similarity of shingle sets.
 
     Null and empty texts, and texts without words, have no shingles and no links. ``doc_id`` names a document:
-    rows without it are left out, rows that repeat id and text give one row each. Other columns are ignored.
+    rows without it are left out, rows that repeat id and text give one row each. Other columns are ignored. A key
+    shared by more than ``block`` candidates is searched in pairs of blocks.
     """
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    buckets = deals(source)
 
     def of(h: np.ndarray) -> np.ndarray:
         return (ts.mix(h.view(np.uint64)) % _U(buckets)).astype(np.int32)
@@ -300,51 +410,177 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         return pa.Table.from_batches(out, schema=_batch(np.zeros(1, np.int32), 0, np.zeros(1, np.int64), np.zeros(1, np.int64)).schema)
 
     dealt = settle(source.mapInArrow(keyed, _DEALT).groupBy("bucket").applyInArrow(met, _DEALT), "met")
-    members = _exploded(dealt, 2, "doc_id", "local", "n_shingles")
+    members = settle(_exploded(dealt, 2, "doc_id", "local", "n_shingles").drop("bucket"), "members")
     same = settle(_exploded(dealt, 1, "local", "rep").groupBy("local").agg(F.min("rep").alias("rep")), "same")
+    keys = settle(_exploded(dealt, 0, "key", "local").join(same, "local").select("key", "rep").distinct(), "keys")
 
     # every document against the leader with which it shares most groups
     shared = _exploded(dealt, 3, "local", "leader", "k").groupBy("local", "leader").agg(F.sum("k").alias("k"))
     pairs = shared.join(same.withColumnRenamed("rep", "a"), "local").join(same.select(F.col("local").alias("leader"), F.col("rep").alias("b")), "leader").where("a <> b")
-    best = pairs.groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("col2"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
-    links = _verified(source, best, size, percent)
-    joined = settle(connected_components(links), "components")
-
-    # groups whose documents are still in several components
-    where = same.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("local", "rep", F.coalesce("component", "rep").alias("component"))
-    inside = settle(_exploded(dealt, 0, "key", "local").join(where, "local").select("bucket", "key", "rep", "component").distinct(), "inside")
-    open_keys = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = settle(inside.join(open_keys, "key", "left_semi"), "open")
-    more = _searched(source, inside, size, percent)
-    links = links.union(_verified(source, more, size, percent))
-    final = connected_components(links)
-    return (
+    best = settle(pairs.groupBy("a").agg(F.max(F.struct("k", (-F.col("b")).alias("col2"))).alias("x")).select("a", (-F.col("x.col2")).alias("b")), "best")
+    drop(dealt)
+    ids = settle(keys.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sketches = settle(_of_ids(source, ids).mapInArrow(lambda batches: _sketched(batches, size), "rep long, n int, counts binary").dropDuplicates(["rep"]), "sketches")
+    near = settle(_within_bound(best, sketches, percent), "near")
+    links = [_verified(source, near, size, percent)]
+    drop(best, ids, near)
+    joined = connected_components(links[0])
+
+    # keys whose documents are still in several components: a forest of what the bound lets through
+    inside = _open(keys, sketches, joined)
+    drop(joined)
+    more = settle(_searched(inside, percent, block, True).distinct(), "more")
+    drop(inside)
+    if not more.isEmpty():
+        links.append(_verified(source, more, size, percent))
+        joined = connected_components(links[0].union(links[1]))
+        # and what is open after that, verified in one place
+        inside = _open(keys, sketches, joined)
+        left = settle(_searched(inside, percent, block, False), "left")
+        drop(inside, joined)
+        if not left.isEmpty():
+            links.append(_settled(source, left, size, percent))
+        drop(left)
+    drop(keys, sketches, more)
+    every = links[0]
+    for x in links[1:]:
+        every = every.union(x)
+    final = connected_components(every)
+    out = settle(
         members.join(same, "local", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
         .join(final.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        .select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")),
+        "found",
     )
+    drop(members, same, final, *links)
+    return out
 
 
-def _searched(docs: DataFrame, inside: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a group and pass the bound of their points."""
+def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for ids, found in _sets(batches, size):
+        yield pa.RecordBatch.from_pydict({"rep": ids, "n": pa.array([len(x) for x in found], pa.int32()), "counts": pa.array([sketch(x) for x in found], pa.binary())})
 
-    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in _sets(batches, size):
-            yield pa.RecordBatch.from_pydict({"rep": ids, "point": pa.array([point(x) for x in found], pa.list_(pa.int32()))})
+
+def _one_of_each(rows: DataFrame, key: str, *more: Column) -> DataFrame:
+    """Keys and their totals; of keys that hold the very same documents, one."""
+    lists = rows.groupBy(key).agg(F.count("*").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("t"), *more)
+    return lists.groupBy("total", "s", "t").agg(F.min_by(F.struct(*[c for c in lists.columns if c not in ("s", "t")]), key).alias("x")).select("x.*")
+
+
+def _open(keys: DataFrame, sketches: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, total, rep, component, q, n, counts) of the keys whose documents are in several components; ``q`` marks
+    documents outside the key's largest component, and of every pair to be searched one is such."""
+    where = keys.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = where.groupBy("key", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("t"))
+    lists = parts.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("top"), F.bit_xor("s").alias("s"), F.bit_xor("t").alias("t")).where("parts > 1")
+    one = settle(lists.groupBy("total", "s", "t").agg(F.min_by(F.struct("key", "top"), "key").alias("x")).select("x.key", "x.top", "total"), "one")
+    rows = where.join(one, "key").select("key", "total", "rep", "component", (F.col("component") != F.col("top")).alias("q"))
+    out = settle(rows.join(sketches, "rep"), "open")
+    drop(one)
+    return out
+
+
+def _blocks(inside: DataFrame, percent: int, block: int) -> DataFrame:
+    """Rows with ``task``, the search that they belong to, and ``side``: 1 and 2 are compared with each other, 0 with all.
+
+    The rows of a large key are cut into blocks by size and by whether they are outside the largest component;
+    blocks too different in size to link, and two blocks of the largest component, do not meet.
+    """
+    tasks = max(1, -(-inside.count() // TASK_ROWS))
+    small = inside.where(F.col("total") <= block).withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).withColumn("side", F.lit(0))
+    large = inside.where(F.col("total") > block).withColumn("band", F.floor(F.log("n") / (float(np.log(100 / percent)) * 1.001 + 1e-9)))
+    counts = large.groupBy("key", "band", "q").agg(F.expr(f"cast(ceil(count(1) / {block}) as int)").alias("chunks"))
+    large = large.join(counts, ["key", "band", "q"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    pages = counts.select("key", "band", "q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    x, y = (pages.select("key", F.struct("band", "q", "chunk").alias(name)) for name in ("x", "y"))
+    meet = x.join(y, "key").where("x.q and abs(x.band - y.band) <= 1 and (not y.q or x <= y)").withColumn("task", F.xxhash64("key", "x", "y"))
+    alone = F.col("x") == F.col("y")
+    sides = meet.select("key", "x.*", "task", F.when(alone, 0).otherwise(1).alias("side")).union(meet.where(~alone).select("key", "y.*", "task", F.lit(2)))
+    return small.unionByName(large.join(sides, ["key", "band", "q", "chunk"]).select(small.columns))
+
+
+def cross_pairs(key: np.ndarray, comp: np.ndarray, q: np.ndarray, side: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one key, in different components, one of them ``q``, whose points let them link."""
+    order = np.argsort(key, kind="stable")
+    found = [np.empty((2, 0), np.int64)]
+    size = points.sum(1)
+    few: list[np.ndarray] = []
+    for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        if len(at) <= LEAF:  # a tree of one leaf
+            i, j = np.triu_indices(len(at), 1)
+            few.append(np.array([at[i], at[j]]))
+            continue
+        left, right = at[q[at] & (side[at] < 2)], at[side[at] != 1]
+        if len(left) and len(right):
+            a, b = CountTree(points[right]).search(points[left], percent)
+            found.append(np.array([left[a], right[b]]))
+    if few:
+        a, b = np.concatenate(few, axis=1)
+        keep = (q[a] | q[b]) & (comp[a] != comp[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[keep], b[keep]
+        for lo in range(0, len(a), 1 << 15):
+            x, y = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
+            keep = enough(np.minimum(points[x], points[y]).sum(1), size[x], size[y], percent)
+            found.append(np.array([x[keep], y[keep]]))
+    a, b = np.concatenate(found, axis=1)
+    keep = (comp[a] != comp[b]) & ((side[a] != side[b]) | ~q[b] | (a < b))
+    return a[keep], b[keep]
+
+
+def _candidates(table: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
+    """(a, b, bound, rep, component) of the pairs of rows that the finer bound lets through as well."""
+    key, rep, comp, q, side, n = (table.column(k).to_numpy() for k in ("key", "rep", "component", "q", "side", "n"))
+    grids = Sketches(table.column("counts").to_pylist(), n.astype(np.int64))
+    a, b = cross_pairs(key, comp, q, side, grids.points, percent)
+    bound = grids.overlap(a, b)
+    keep = enough(bound, n[a], n[b], percent)
+    return a[keep], b[keep], bound[keep] / np.maximum(n[a] + n[b] - bound, 1)[keep], rep, comp
+
+
+def _forest_of(a: np.ndarray, b: np.ndarray, weight: np.ndarray, rep: np.ndarray, comp: np.ndarray) -> pa.Table:
+    """(a, b) of a forest over components."""
+    node = np.unique(comp, return_inverse=True)[1]
+    e = forest(node[a], node[b], weight, int(node.max(initial=-1)) + 1)
+    return pa.table({"a": pa.array(rep[a[e]], pa.int64()), "b": pa.array(rep[b[e]], pa.int64())})
+
+
+def _searched(inside: DataFrame, percent: int, block: int, edges: bool) -> DataFrame:
+    """A forest (a, b) of candidates for each search, or (``edges`` false) the rows that have a candidate."""
 
     def search(table: pa.Table) -> pa.Table:
-        key, rep, comp = (table.column(k).to_numpy() for k in ("key", "rep", "component"))
-        grid = ts.gathered(table, "point", np.int32).reshape(-1, DIMS)
-        order = np.argsort(key, kind="stable")
-        found = [np.empty((2, 0), np.int64)]
-        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            tree = CountTree(grid[at])
-            q, p = tree.search(grid[at], percent)
-            keep = (rep[at[q]] < rep[at[p]]) & (comp[at[q]] != comp[at[p]])
-            found.append(np.array([rep[at[q[keep]]], rep[at[p[keep]]]]))
-        pair = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": pa.array(pair[0], pa.int64()), "b": pa.array(pair[1], pa.int64())})
-
-    ids = settle(inside.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    grid = _of_ids(docs, ids).mapInArrow(points, "rep long, point array<int>").dropDuplicates(["rep"])
-    return inside.join(grid, "rep").withColumn("bucket", F.expr(f"bucket div {TOGETHER}")).groupBy("bucket").applyInArrow(search, "a long, b long").distinct()
+        a, b, weight, rep, comp = _candidates(table, percent)
+        if edges:
+            return _forest_of(a, b, weight, rep, comp)
+        at = np.unique(np.concatenate([a, b]))
+        return table.select(["task", "key", "rep", "component", "q", "side", "n"]).take(pa.array(at))
+
+    return _blocks(inside, percent, block).groupBy("task").applyInArrow(search, "a long, b long" if edges else "task long, key long, rep long, component long, q boolean, side int, n int")
+
+
+def _settled(docs: DataFrame, left: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the rows that are ``left``, a forest for each search, from full sets."""
+    left = left.withColumn("place", F.xxhash64("task", "key"))
+    one = _one_of_each(left, "place").select("place")
+    rows = settle(left.join(one, "place"), "rest")
+    ids = settle(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    known = settle(_set_table(docs, ids, size).dropDuplicates(["rep"]), "sets")
+    tasks = max(1, -(-rows.count() // SET_ROWS))
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat, n = _flat(table.column("shingles").chunk(0))
+        at = np.cumsum(n) - n
+        sets = [flat[x : x + k].view(np.uint64) for x, k in zip(at.tolist(), n.tolist(), strict=True)]
+        found = table.drop_columns(["key"]).append_column("key", table.column("place")).append_column("counts", pa.array([sketch(x) for x in sets], pa.binary()))
+        a, b, _, rep, comp = _candidates(found, percent)
+        keep = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 256):
+            e = slice(lo, lo + 256)
+            x, y = ((np.concatenate([sets[i] for i in s]), n[s]) for s in (a[e], b[e]))
+            keep[e] = enough(common(x, y), x[1], y[1], percent)
+        return _forest_of(a[keep], b[keep], np.ones(int(keep.sum())), rep, comp)
+
+    joined = rows.join(known, "rep").withColumn("deal", F.pmod("place", F.lit(tasks)))
+    links = settle(joined.groupBy("deal").applyInArrow(verify, "a long, b long").distinct(), "last")
+    drop(rows, ids, known)
+    return links

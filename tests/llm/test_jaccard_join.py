@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from shelfwise.llm import textscan as ts
-from shelfwise.llm.jaccard_join import CountTree, enough, group_keys, jaccard_components, point
+from shelfwise.llm.jaccard_join import CountTree, Sketches, enough, forest, group_keys, jaccard_components, point, sketch
 from tests.llm.helpers import SCHEMA, corpus, frame
 
 
@@ -83,3 +83,83 @@ def test_odd_rows(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     clash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as component", "2 as rep", "3 as a")
     assert jaccard_components(clash).count() == 7
+
+
+def test_large_keys_are_searched_in_blocks(spark):
+    """Near copies of several templates: many documents to a key, in several components."""
+    rng = random.Random(4)
+    rows = []
+    for t in range(3):
+        base = [f"t{t}w{i}" for i in range(120)]
+        for i in range(60):
+            words = base[:]
+            for _ in range(rng.randrange(6)):
+                words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            rows.append((t * 100 + i, " ".join(words[: 120 - 12 * (i % 3)]), None, None, 0))
+    want = plain(rows)
+    assert 3 < len({c for _, c in want.values()}) < 170
+    for block in (4, 4096):
+        got = {r.doc_id: tuple(r)[1:] for r in jaccard_components(frame(spark, rows), block=block).collect()}
+        assert got == want
+
+
+def test_two_thousand_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(2000):
+        words = base[:]
+        words[rng.randrange(200)] = f"x{i}"
+        words[rng.randrange(200)] = f"y{i}"
+        rows.append((i, " ".join(words), None, None, 0))
+    sets = {d: shingles(t) for d, t, *_ in rows}
+    left, comp = set(sets), {}
+    while left:  # flood from the least
+        root = min(left)
+        todo = [root]
+        left.discard(root)
+        while todo:
+            d = todo.pop()
+            comp[d] = root
+            near = {o for o in left if 100 * len(sets[d] & sets[o]) >= 85 * len(sets[d] | sets[o])}
+            left -= near
+            todo += near
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, rows), block=256).collect()}
+    assert got == comp
+
+
+def test_forest_spans_and_prefers_heavy_edges():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    weight = rng.integers(0, 5, 300) / 4
+    e = forest(a, b, weight, 40)
+
+    def joined(edges):
+        comp = list(range(40))
+        for x, y in edges:
+            comp = [comp[x] if c == comp[y] else c for c in comp]
+        return len(set(comp))
+
+    assert joined(zip(a[e], b[e], strict=True)) == joined(zip(a, b, strict=True)) == 40 - len(e)
+    for t in (1.0, 0.75, 0.5):
+        heavy, own = weight >= t, weight[e] >= t
+        assert joined(zip(a[e][own], b[e][own], strict=True)) == joined(zip(a[heavy], b[heavy], strict=True))
+
+
+def test_sketch_bounds_the_overlap():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(ts.mix(rng.integers(0, 900, int(rng.integers(1, 800))).astype(np.uint64))) for _ in range(60)]
+    grids = Sketches([sketch(x) for x in sets], np.array([len(x) for x in sets]))
+    a, b = np.triu_indices(60, 1)
+    bound = grids.overlap(a, b)
+    real = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (bound >= real).all()
+    whole = np.sort(ts.mix(np.arange(1000, dtype=np.uint64)))
+    other = np.sort(np.concatenate([whole[::5], ts.mix(np.arange(5000, 5800, dtype=np.uint64))]))
+    close = np.sort(np.concatenate([whole[whole % np.uint64(20) > 1], ts.mix(np.arange(5000, 5100, dtype=np.uint64))]))
+    grids = Sketches([sketch(x) for x in (whole, other, close)], np.array([len(whole), len(other), len(close)]))
+    real = np.array([len(np.intersect1d(whole, x)) for x in (other, close)])
+    bound = grids.overlap(np.array([0, 0]), np.array([1, 2]))
+    assert (bound >= real).all() and bound[1] - real[1] < 40
+    full = Sketches([bytes([255] * 64)] * 2, np.array([64 * 255 + 100, 64 * 255 + 30]))
+    assert full.overlap(np.array([0]), np.array([1])).tolist() == [64 * 255 + 30]
