@@ -103,14 +103,23 @@ class Voters:
             some = np.flatnonzero(part.any(1))
             if not len(some):
                 continue
-            cosine = self.latent(part[some]) @ self.vectors.T
+            cosine = np.round(self.latent(part[some]) @ self.vectors.T, 5)  # so that ties do not hang on the order of sums
             k = min(NEIGHBOURS, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = nearest(cosine, k)
             vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** SHARPNESS * self.weight[near]
             out[a + some] = np.clip((vote * self.labels[near]).sum(1) / vote.sum(1), 0, 1)
         return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` greatest values of each row; of equal ones those that come first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(cosine, near, 1).min(1)
+    for r in np.flatnonzero((cosine >= last[:, None]).sum(1) > k):  # a tie at the limit
+        near[r] = np.lexsort((np.arange(cosine.shape[1]), -cosine[r]))[:k]
+    return near
+
+
 def train(docs: DataFrame, labels: DataFrame, fold: int = 2) -> Voters | None:
     """Voters from labelled documents outside the fold: at most about REFERENCES a class."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(f"doc_id is not null and quality in (0, 1) and pmod(crc32(cast(doc_id as string)), 4) <> {fold}")
@@ -127,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 2) -> Voters | None:
             for lo, hi, buf, offs in ts.slices(batch.column("text")):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[lo:hi], "quality": batch.column("quality")[lo:hi], "bag": pa.array([x.tobytes() for x in bags(buf, offs).astype(np.float16)], pa.binary())})
 
-    joined = texts.join(F.broadcast(chosen.limit(4 * REFERENCES)), "doc_id")  # about 2 * REFERENCES rows
+    first = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * REFERENCES)  # about 2 * REFERENCES rows are chosen
+    joined = texts.join(F.broadcast(first), "doc_id")
     rows = sorted({(r.doc_id, r.quality, bytes(r.bag)) for r in joined.mapInArrow(sample, "doc_id long, quality int, bag binary").toLocalIterator()})
     return _fit(np.array([np.frombuffer(b, np.float16) for _, _, b in rows], np.float32).reshape(-1, WIDTH), np.array([q for _, q, _ in rows], np.float64), counts) if rows else None
 

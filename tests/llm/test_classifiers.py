@@ -124,3 +124,36 @@ def test_known_documents_stay(spark):
     assert {r.doc_id for r in L.keep_known(df).collect()} == known == {r[0] for r in rows} - {9_101}
     nothing = df.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
     assert L.keep_known(nothing).count() == len(rows)
+
+
+def test_votes_equal_plain_version_with_ties():
+    rng = np.random.default_rng(4)
+    base = np.eye(Q.WIDTH, Q.RANK, dtype=np.float32)
+    bag = np.zeros((120, Q.WIDTH), np.float32)
+    bag[:, : Q.RANK] = rng.integers(0, 2, (120, Q.RANK))
+    bag[60:] = bag[:60]  # every voter has a twin, often with another label
+    bag[:, 0] += 1
+    voters = Q.Voters(np.ones(Q.WIDTH, np.float32), base, np.empty((0, Q.RANK), np.float32), rng.integers(0, 2, 120).astype(float), rng.random(120), 0.3)
+    voters.vectors = voters.latent(bag)
+    texts = np.zeros((50, Q.WIDTH), np.float32)
+    texts[:, : Q.RANK] = rng.integers(0, 2, (50, Q.RANK))
+    texts[7] = 0
+    got = voters.score(texts)
+    cosine = np.round(voters.latent(texts) @ voters.vectors.T, 5)
+    for i in range(50):
+        if not texts[i].any():
+            assert got[i] == 0.3
+            continue
+        near = sorted(range(120), key=lambda j: (-cosine[i, j], j))[: Q.NEIGHBOURS]
+        vote = [max(float(cosine[i, j]), 1e-6) ** Q.SHARPNESS * voters.weight[j] for j in near]
+        assert math.isclose(got[i], sum(v * voters.labels[j] for v, j in zip(vote, near, strict=True)) / sum(vote), rel_tol=1e-5)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(12)
+    rows = [*docs(150), (9_500, prose(rng, "bb", 60_000), "bb", None, 0), (9_501, "x" * 2_000_000, None, None, 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in L.identify(d).collect()}
+    assert got[9_500].lang_pred == "bb" and 0 <= got[9_501].score <= 1
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in Q.classify(d, labels).collect())
