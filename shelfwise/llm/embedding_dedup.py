@@ -1,8 +1,9 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Each vector is described by the order of its nearest reference points (pivots). Inverted lists, one a pivot,
-bring together vectors that have the pivot among their nearest; pairs that share enough pivots are verified by
-their cosine in double precision. Each pair is looked at in the list of the first pivot that it shares.
+bring together vectors that have the pivot among their nearest; the pivots that two vectors share are counted, and
+pairs that share enough are verified by their cosine in double precision. A pair belongs to the list of the first
+pivot that it shares.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from shelfwise.session import settle
 
 COSINE = 0.95
 #: Pivots grow with the square root of the vectors, within these bounds and PIVOT_VALUES numbers together.
-PIVOTS = (64, 8_192)
-PIVOT_VALUES = 4 << 20
+PIVOTS = (64, 65_536)
+PIVOT_VALUES = 8 << 20
 #: Nearest pivots kept of each vector, and how many of them a pair has to share.
 NEAREST = 8
 SHARED = 2
 #: Rows of a block; lists beyond it are compared block by block.
 BLOCK = 1_024
-DIMENSIONS = 16
 
 
 def _clean(vectors: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def described(reps: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> Da
 
 def _block_links(cosine: float, shared: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def links(key: tuple, table: pa.Table) -> pa.Table:
-        pivot, left, right = (x.as_py() for x in key)
+        pivot, left, right = (x.as_py() for x in key[:3])
         ids, size, chunk = (table.column(k).to_numpy() for k in ("vec_id", "size", "chunk"))
         order = np.lexsort((ids, chunk))
         ids, size, chunk = ids[order], size[order], chunk[order]
@@ -104,17 +104,22 @@ def _block_links(cosine: float, shared: int) -> Callable[[tuple, pa.Table], pa.T
         grid = _unit(_grid(table.column("vec"), dim))[order]
         near = _grid(table.column("pivots"), len(table.column("pivots")[0]))[order]
         a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
-        mask = grid[a] @ grid[b].T >= cosine
-        i, j = np.nonzero(mask)
+        pivots, place = np.unique(near, return_inverse=True)
+        has = np.zeros((len(ids), len(pivots)), np.float32)
+        has[np.arange(len(ids))[:, None], place.reshape(near.shape)] = 1
+        has = has[:, has.sum(0) > 1]
+        mask = has[a] @ has[b].T >= min(shared, near.shape[1])  # pivots in common
         if left == right:
-            keep = i < j
-            i, j = i[keep], j[keep]
+            mask = np.triu(mask, 1)
+        if mask.any():
+            mask &= grid[a] @ grid[b].T >= cosine
+        i, j = np.nonzero(mask)
         i, j = a[i], b[j]
         keep = np.empty(len(i), bool)
-        for s in range(0, len(i), 1 << 16):  # what the pair shares, and whether this list is the first of it
+        for s in range(0, len(i), 1 << 16):  # whether this list is the first of the pair
             e = slice(s, s + (1 << 16))
             same = (near[i[e]][:, :, None] == near[j[e]][:, None, :]).any(2)
-            keep[e] = (same.sum(1) >= shared) & (np.where(same, near[i[e]], 1 << 30).min(1) == pivot)
+            keep[e] = np.where(same, near[i[e]], 1 << 30).min(1) == pivot
         i, j = i[keep], j[keep]
         count = np.bincount(i, size[j], len(ids)) + np.bincount(j, size[i], len(ids))
         label = np.arange(len(ids))
@@ -145,23 +150,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, nearest: int = N
     same = clean.groupBy("content", "dim").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size"))
     same = settle(same, "same")
     of = clean.select("vec_id", "content").distinct().join(same, "content").groupBy("vec_id").agg(F.min_by(F.struct("rep", "size"), "rep").alias("x")).select("vec_id", "x.rep", "x.size")
-    dims = [(r.dim, r["count"]) for r in same.groupBy("dim").count().orderBy(F.desc("count")).limit(DIMENSIONS + 1).collect()]
-    if len(dims) > DIMENSIONS:
-        raise ValueError(f"vectors of more than {DIMENSIONS} lengths")
+    reps = clean.join(same.select(F.col("rep").alias("vec_id"), "content", "size"), ["vec_id", "content"]).dropDuplicates(["vec_id"]).select("vec_id", "vec", "dim", "size")
     found = None
-    for dim, count in dims:
-        reps = clean.where(F.col("dim") == dim).join(same.select(F.col("rep").alias("vec_id"), "content", "size"), ["vec_id", "content"]).dropDuplicates(["vec_id"]).select("vec_id", "vec", "dim", "size")
-        pivots = choose_pivots(reps, dim, count)
-        posted = settle(described(reps, pivots, nearest), "posted")
+    for dim, count in [(r.dim, r["count"]) for r in same.groupBy("dim").count().where(f"count > {BLOCK}").orderBy("dim").toLocalIterator()]:
+        own = reps.where(F.col("dim") == dim)
+        posted = settle(described(own, choose_pivots(own, dim, count), nearest), "posted")
         lists = posted.select("vec_id", F.explode("pivots").alias("pivot"))
         chunks = lists.groupBy("pivot").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("chunks"))  # one row a pivot
         rows = posted.select("*", F.explode("pivots").alias("pivot")).join(F.broadcast(chunks), "pivot").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
         part = rows.select("vec_id", "size", "dim", "vec", "pivots", "pivot", "chunk", "left", "right").groupBy("pivot", "left", "right").applyInArrow(_block_links(cosine, shared), "vec_id long, n long, root long")
         found = part if found is None else found.unionByName(part)
+    # lengths that fill no more than a block have one list each, with one pivot
+    few = reps.join(same.groupBy("dim").count().where(f"count <= {BLOCK}").select("dim"), "dim").withColumn("pivots", F.array(F.lit(0)))
+    few = few.withColumn("pivot", F.lit(0)).withColumn("chunk", F.lit(0)).withColumn("left", F.lit(0)).withColumn("right", F.lit(0))
+    part = few.groupBy("pivot", "left", "right", "dim").applyInArrow(_block_links(cosine, 1), "vec_id long, n long, root long")
+    found = part if found is None else found.unionByName(part)
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").join(of, "vec_id", "left")
-    if found is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = settle(found, "links")
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "rep")
     joined = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")

@@ -44,3 +44,17 @@ def test_odd_rows(spark):
     got = sorted(tuple(r) for r in near_duplicates(df).collect())
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 2, 1, False), (10, 1, 8, False), (11, 1, 11, True), (12, 1, 11, False)]
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for dim in range(1, 41):
+        for k in range(3):
+            x = rng.standard_normal(dim) if k < 2 else np.array(rows[-2][1]) * 2.5
+            rows.append((dim * 10 + k, [float(v) for v in x], 0))
+    for i, a, _ in rows:
+        x = np.array(a) / np.linalg.norm(a)
+        want[i] = sum(1 for j, b, _ in rows if j != i and len(b) == len(a) and x @ (np.array(b) / np.linalg.norm(b)) >= 0.95)
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == want
