@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions import constants as K
 from shelfwise.functions.vectors import epoch_us, hamming64, l2
+from shelfwise.session import settle
+
+#: Vectors of a block of a distance matrix, and pivots (one for a block's worth of vectors) at most.
+BLOCK = 1_024
+PIVOTS = 1_024
 
 
 def bucket_pairs(prints: DataFrame, limit: float = K.SIMILAR, bucket_s: int = 900) -> DataFrame:
@@ -17,30 +27,97 @@ def bucket_pairs(prints: DataFrame, limit: float = K.SIMILAR, bucket_s: int = 90
     return a.join(b, ["library_id", "bucket"]).where("a < b").withColumn("distance", l2(F.col("va"), F.col("vb"))).where(F.col("distance") < limit).select("library_id", "a", "b", "distance")
 
 
-def pivot_pairs(prints: DataFrame, limit: float, pivots: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
+def _grid(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
+
+
+def _homes(pivots: dict[int, np.ndarray], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to each vector its cell, that of the nearest pivot, and a row as ``guest`` of each later cell that may hold
+    a vector closer than ``limit``: one to which its distance is at most that of its own pivot plus twice the limit."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                for lo in range(0, len(at), 2 * BLOCK):
+                    part = batch.take(pa.array(at[lo : lo + 2 * BLOCK]))
+                    if not dim or dim not in pivots:
+                        yield _with(part, np.zeros(part.num_rows, np.int32), False)
+                        continue
+                    far = np.sqrt(np.maximum(_squares(_grid(part.column("vec")), pivots[dim]), 0))
+                    home = far.argmin(1)
+                    yield _with(part, home.astype(np.int32), False)
+                    row, cell = np.nonzero((far <= far.min(1, keepdims=True) + 2 * limit + 1e-6) & (np.arange(far.shape[1])[None, :] > home[:, None]))
+                    if len(row):
+                        yield _with(part.take(pa.array(row)), cell.astype(np.int32), True)
+
+    return scan
+
+
+def _with(batch: pa.RecordBatch, cell: np.ndarray, guest: bool) -> pa.RecordBatch:
+    return batch.append_column("cell", pa.array(cell)).append_column("guest", pa.array([guest] * batch.num_rows, pa.bool_()))
+
+
+def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of one block against another (``side`` 1 and 2), or within one (side 0)."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids, side = table.column("asset_id").to_numpy(), table.column("side").to_numpy()
+        grid = _grid(table.column("vec"))
+        x, y = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        close = _squares(grid[x], grid[y]) < limit * limit * (1 + 1e-9) + 1e-9 * (1 + np.abs(grid).max(initial=0) ** 2)
+        if side.any():
+            i, j = np.nonzero(close)
+        else:
+            i, j = np.nonzero(np.triu(close, 1))
+        i, j = x[i], y[j]
+        far = np.empty(len(i))
+        for lo in range(0, len(i), 1 << 16):  # terms are added in order
+            e = slice(lo, lo + (1 << 16))
+            far[e] = np.sqrt(np.cumsum((grid[i[e]] - grid[j[e]]) ** 2, axis=1)[:, -1])
+        keep = (far < limit) & (ids[i] != ids[j])
+        i, j, far = i[keep], j[keep], far[keep]
+        same = {k: table.column(k).combine_chunks().take(pa.array(i)) for k in keys}
+        return pa.table({**same, "a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j])), "distance": pa.array(far)})
+
+    return pairs
+
+
+def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) -> DataFrame:
     """(library_id, *extra, a, b, distance) of vectors of a library closer than ``limit``; exact.
 
-    By the triangle inequality a pair's distances to any pivot differ by less than ``limit``, so it falls into
-    the same or neighbouring cells of that width for every pivot: an equi-join on cells, then the distance.
-    Pivots are a few vectors by least id; longer vectors of the same row lengths only.
+    Vectors gather in cells about their nearest pivots. By the triangle inequality a vector can only be close to
+    vectors of cells whose pivot is not much further away than its own, and it is sent there as well. Within a
+    cell, blocks are compared with blocks as matrix products; a cell of very many vectors is many blocks. Vectors of
+    different lengths, null ones and those with null elements are close to none. Pivots are a few vectors by hash.
     """
     keys = ["library_id", *extra]
-    dims = F.size("vec")
-    chosen = prints.select("asset_id", "vec").where("vec is not null").orderBy(F.xxhash64("asset_id"), "asset_id").limit(pivots).collect()
-    if not chosen:
-        return prints.sparkSession.createDataFrame([], "library_id string, " + "".join(f"{x} int, " for x in extra) + "a long, b long, distance double")
-    rows = prints.where("vec is not null").withColumn("dim", dims)
-    cells = []
-    for i, p in enumerate(chosen):
-        rows = rows.withColumn(f"c{i}", F.floor(F.coalesce(l2(F.col("vec"), F.array(*map(F.lit, p.vec))), F.lit(0.0)) / limit))
-        cells.append(f"c{i}")
-    steps = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    probe = rows
-    for c in cells:
-        probe = probe.withColumn("step", F.explode(steps)).withColumn(c, F.col(c) + F.col("step")).drop("step")
-    a = rows.select(*keys, "dim", *cells, F.col("asset_id").alias("a"), F.col("vec").alias("va"))
-    b = probe.select(*keys, "dim", *cells, F.col("asset_id").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, [*keys, "dim", *cells]).where("a < b").withColumn("distance", l2(F.col("va"), F.col("vb"))).where(F.col("distance") < limit).select(*keys, "a", "b", "distance")
+    names = prints.select("asset_id").schema
+    rows = prints.where("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)").select(*keys, "asset_id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
+    count = min(PIVOTS, -(-rows.count() // BLOCK))
+    chosen: dict[int, list] = {}
+    for r in rows.select("dim", "vec").orderBy(F.xxhash64("asset_id"), "asset_id").limit(count).collect() if count > 1 else []:
+        chosen.setdefault(r.dim, []).append(r.vec)
+    pivots = {d: np.unique(np.array(v), axis=0) for d, v in chosen.items()}
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("guest", T.BooleanType())])
+    homes = settle(rows.mapInArrow(_homes(pivots, limit), schema), "cells")
+    place = [*keys, "dim", "cell"]
+    sizes = homes.groupBy(*place).agg(*[F.expr(f"cast(ceil(count_if(guest = {g}) / {BLOCK}) as int)").alias(n) for g, n in (("false", "own"), ("true", "guests"))])
+    blocks = homes.join(sizes, [c for c in place]).withColumn("block", F.pmod(F.xxhash64("asset_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int"))
+    # left blocks are those of guests and of the cell, right blocks those of the cell: (whether left are guests, left, right, side)
+    kind = "struct<w:boolean,x:int,y:int,side:int>"
+    left = F.expr("transform(sequence(if(guest, 0, block), own - 1), y -> named_struct('w', guest, 'x', block, 'y', y, 'side', if(not guest and y = block, 0, 1)))")
+    right = F.expr("concat(transform(filter(sequence(0, own), x -> x < block), x -> named_struct('w', false, 'x', cast(x as int), 'y', block, 'side', 2)), transform(filter(sequence(0, guests), x -> x < guests), x -> named_struct('w', true, 'x', cast(x as int), 'y', block, 'side', 2)))")
+    tasks = blocks.where("own > 0").withColumn("meet", F.when(F.col("guest"), left.cast(f"array<{kind}>")).otherwise(F.concat(left.cast(f"array<{kind}>"), right.cast(f"array<{kind}>"))))
+    dealt = tasks.select(*place, "asset_id", "vec", F.inline("meet"))
+    out = T.StructType([*rows.select(*keys).schema.fields, T.StructField("a", names[0].dataType), T.StructField("b", names[0].dataType), T.StructField("distance", T.DoubleType())])
+    return dealt.groupBy(*place, "w", "x", "y").applyInArrow(_block_pairs(keys, limit), out)
 
 
 def hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
@@ -86,7 +163,9 @@ def lsh_pairs(prints: DataFrame, limit: float, tables: int = 6, width: float = 0
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = prints.select("library_id", "asset_id", array_to_vector("vec").alias("features"))
+    # a library is a further dimension in which any two are further apart than the limit
+    apart = F.expr("transform(sequence(0, 7), i -> cast(pmod(xxhash64(library_id, i), 1024) as double))")
+    rows = prints.select("library_id", "asset_id", array_to_vector(F.concat("vec", F.transform(apart, lambda x: x * (limit + width)))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
     pairs = model.approxSimilarityJoin(rows, rows, limit, "distance")
     a, b = F.col("datasetA"), F.col("datasetB")

@@ -1,6 +1,7 @@
 """Hand-made edge tables: one for each limit and quirk."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -252,3 +253,25 @@ def test_eyes_and_boxes(spark):
     assert column(spark, [wide, wide[:3], [(0.0, 0.0)] * 4, None], p, image.eye_aspect) == [0.1, 1.0, 1.0, 1.0]
     row = spark.createDataFrame([((0.25, 0.25, 0.5, 0.5),)], "b struct<x double, y double, w double, h double>").select(image.face_rect(F.col("b"), F.lit(16), F.lit(8)).alias("r"), image.luma_bt709(F.lit(1.0), F.lit(1.0), F.lit(1.0)).alias("l")).first()
     assert tuple(row.r) == (4.0, 2.0, 8.0, 4.0) and row.l == 1.0
+
+
+def test_pivot_join_over_cells_and_blocks(spark, monkeypatch):
+    """Small blocks: many cells, guests of later cells, and cells of several blocks."""
+    rng = random.Random(9)
+    centres = [[rng.random() * 4 for _ in range(4)] for _ in range(6)]
+    rows = [(f"L{i % 2}", i, [c + rng.gauss(0, 0.15) for c in centres[0 if i % 3 else rng.randrange(6)]]) for i in range(400)]
+    rows += [("L0", 1000, None), ("L0", 1001, []), ("L0", 1002, [1.0, None, 1.0, 1.0]), ("L1", 1003, [1.0])]
+    monkeypatch.setattr(pairs, "BLOCK", 24)
+    got = [(r.library_id, r.a, r.b) for r in pairs.pivot_pairs(spark.createDataFrame(rows, "library_id string, asset_id long, vec array<double>"), 0.3).collect()]
+    whole = [r for r in rows if r[2] and len(r[2]) == 4 and None not in r[2]]
+    want = {(a[0], a[1], b[1]) for a in whole for b in whole if a[0] == b[0] and a[1] < b[1] and math.dist(a[2], b[2]) < 0.3}
+    assert set(got) == want and len(got) == len(want) > 500
+
+
+def test_lsh_recall(spark):
+    rng = random.Random(10)
+    rows = [(f"L{i % 3}", i, [rng.gauss(0, 0.3) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "library_id string, asset_id long, vec array<double>")
+    key = lambda d: {(r.library_id, r.a, r.b) for r in d.collect()}
+    want, got = key(pairs.pivot_pairs(df, 0.2)), key(pairs.lsh_pairs(df, 0.2))
+    assert got <= want and len(got) > 0.6 * len(want)
