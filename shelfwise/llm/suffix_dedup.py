@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textscan as ts
-from shelfwise.session import partitions, settle
+from shelfwise.session import deals, drop, settle
 
 LENGTH = 100
 GRAM = 24
@@ -31,13 +31,16 @@ GRAM = 24
 PIECE = 8
 #: Runs of windows that a map task merges at a time.
 CHUNK = 1 << 20
+#: Different runs of one anchor whose pieces are sorted together.
+KINDS = 4_096
 
 _U = np.uint64
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _RUNS = "bucket int, h array<long>, same array<long>, doc array<long>, lo array<int>, n array<int>, off array<int>, gone array<boolean>"
 _RANGES = "bucket int, doc array<long>, lo array<int>, n array<int>"
-_NEEDS = ", need_doc array<long>, need_lo array<int>, need_n array<int>, need_off array<int>, need_h array<long>"
-_PIECES = "bucket int, key array<long>, doc array<long>, lo array<int>, n array<int>, data binary"
+_NEEDS = ", need_doc array<long>, need_lo array<int>, need_n array<int>, need_off array<int>, need_h array<long>, need_parts array<int>"
+_PIECES = "bucket int, key array<long>, doc array<long>, lo array<int>, n array<int>, dealt array<boolean>, data binary, gone_doc array<long>, gone_lo array<int>, gone_n array<int>"
+_LEFT = _RANGES + ", left_doc array<long>, left_lo array<int>, one array<long>, two array<long>"
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -163,14 +166,13 @@ def _tied(order: np.ndarray, new: np.ndarray, doc: np.ndarray, lo: np.ndarray) -
 
 def _none(schema: str) -> pa.Table:
     """An empty table of a schema in SQL words."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
     return pa.table({k: pa.array([], kinds[t]) for k, t in (x.split(" ") for x in schema.split(", "))})
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
-    """(texts by document bucket, lists of ranges by document bucket, number of buckets)."""
-    spark = docs.sparkSession
-    buckets = 2 * partitions(spark)
+def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = KINDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts by document bucket, lists of ranges by document bucket, the settled table that these read)."""
+    buckets = deals(docs, each=4 << 20)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -213,19 +215,20 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             many[1:] |= twin
             many[:-1] |= twin
         need = kinds[many]
+        parts = -(-np.unique(h[need], return_counts=True)[1] // most)[np.unique(h[need], return_inverse=True)[1]]
         i32, i64 = pa.int32(), pa.int64()
         found = {"doc": (doc[gone], i64), "lo": (lo[gone], i32), "n": (n[gone], i32)}
-        wanted = {"need_doc": (doc[need], i64), "need_lo": (lo[need], i32), "need_n": (n[need], i32), "need_off": (off[need], i32), "need_h": (h[need], i64)}
+        wanted = {"need_doc": (doc[need], i64), "need_lo": (lo[need], i32), "need_n": (n[need], i32), "need_off": (off[need], i32), "need_h": (h[need], i64), "need_parts": (parts.astype(np.int32), i32)}
         return pa.Table.from_batches([ts.dealt_together([(ts.doc_bucket(doc[gone], buckets), found), (ts.doc_bucket(doc[need], buckets), wanted)])])
 
     def cut(_key: tuple, texts: pa.Table, needs: pa.Table) -> pa.Table:
         """Pieces of the runs whose bytes are wanted; texts are gone through a few hundred KB at a time."""
         row_of = {d: i for i, d in enumerate(texts.column("doc_id").to_pylist())}
         doc, h = ts.gathered(needs, "need_doc", np.int64), ts.gathered(needs, "need_h", np.int64)
-        lo, n, off = (ts.gathered(needs, k, np.int32).astype(np.int64) for k in ("need_lo", "need_n", "need_off"))
+        lo, n, off, parts = (ts.gathered(needs, k, np.int32).astype(np.int64) for k in ("need_lo", "need_n", "need_off", "need_parts"))
         row = np.array([row_of.get(d, -1) for d in doc.tolist()], np.int64)
         order = np.argsort(row, kind="stable")
-        row, doc, h, lo, n, off = (x[order] for x in (row, doc, h, lo, n, off))
+        row, doc, h, lo, n, off, parts = (x[order] for x in (row, doc, h, lo, n, off, parts))
         found: list[tuple[np.ndarray, ...]] = []
         raw: list[bytes] = []
         for first, end, buf, offs in ts.slices(texts.column("text").combine_chunks()):
@@ -243,57 +246,84 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
             core = base[src] + o_max[src] - PIECE * j
             key = ts.chain([h[a:b][src].view(np.uint64), j.astype(np.uint64), ts.range_hash(sums, core, core + length - PIECE + 1)])
             count, start = o_hi - o_lo + 1, base[src] + o_max[src] - o_hi
-            found.append((key, doc[a:b][src], (lo[a:b][src] + o_max[src] - o_hi).astype(np.int32), count.astype(np.int32)))
+            found.append((key, ts.range_hash(sums, start, start + count - 1 + length), doc[a:b][src], lo[a:b][src] + o_max[src] - o_hi, count, parts[a:b][src]))
             text = buf.tobytes()
             raw += [text[x:y] for x, y in zip(start.tolist(), (start + count - 1 + length).tolist(), strict=True)]
         if not found:
             return _none(_PIECES)
-        key, doc, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        bucket = (ts.mix(key) % _U(buckets)).astype(np.int32)
-        batch = ts.dealt(bucket, {"key": (key.view(np.int64), pa.int64()), "doc": (doc, pa.int64()), "lo": (lo, pa.int32()), "n": (n, pa.int32())})
-        order = np.argsort(bucket, kind="stable").tolist()
-        cuts = np.append(0, np.cumsum(np.unique(bucket, return_counts=True)[1])).tolist()
+        key, same, doc, lo, n, parts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, new = _earliest([key, same], doc, lo)
+        gone = order[~new & ~_tied(order, new, doc, lo)]
+        keep = np.sort(order[new | _tied(order, new, doc, lo)])
+        i32, i64 = pa.int32(), pa.int64()
+        part = ts.mix(doc.astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
+        bucket = (ts.mix(key + part * _U(0x9E3779B97F4A7C15)) % _U(buckets)).astype(np.int32)
+        pieces = {"key": (key[keep].view(np.int64), i64), "doc": (doc[keep], i64), "lo": (lo[keep].astype(np.int32), i32), "n": (n[keep].astype(np.int32), i32), "dealt": (parts[keep] > 1, pa.bool_())}
+        merged_ = {"gone_doc": (doc[gone], i64), "gone_lo": (lo[gone].astype(np.int32), i32), "gone_n": (n[gone].astype(np.int32), i32)}
+        batch = ts.dealt_together([(bucket[keep], pieces), (ts.doc_bucket(doc[gone], buckets), merged_)])
+        order = keep[np.argsort(bucket[keep], kind="stable")]
+        cuts = np.searchsorted(bucket[order], np.append(batch.column("bucket").to_numpy(), 1 << 30)).tolist()
+        order = order.tolist()
         data = [b"".join(raw[k] for k in order[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
-        return pa.Table.from_batches([batch.append_column("data", pa.array(data, pa.binary()))])
+        return pa.Table.from_batches([batch.append_column("data", pa.array(data, pa.binary()))]).select([c.split(" ")[0] for c in _PIECES.split(", ")])
 
     def settled(table: pa.Table) -> pa.Table:
         key, doc = ts.gathered(table, "key", np.int64), ts.gathered(table, "doc", np.int64)
         lo, n = ts.gathered(table, "lo", np.int32).astype(np.int64), ts.gathered(table, "n", np.int32).astype(np.int64)
+        dealt = ts.gathered(table, "dealt", bool)
         raw = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8)
         start = np.cumsum(n + length - 1) - (n + length - 1)
-        # only pieces that meet another with their key
+        # only pieces that meet another with their key, here or in another part
         order = np.argsort(key, kind="stable")
-        twin = np.zeros(len(key), bool)
+        twin = dealt.copy()
         if len(key) > 1:
             eq = key[order][1:] == key[order][:-1]
             twin[order[1:][eq]] = True
             twin[order[:-1][eq]] = True
         at = np.flatnonzero(twin)
         at = at[np.argsort(key[at], kind="stable")]
-        found = [np.empty((2, 0), np.int64)]
-        step = 20_000  # pieces sorted at a time; a key's pieces stay together
+        found = [(np.empty((2, 0), np.int64), np.empty((2, 0), np.int64), np.empty((2, 0), np.int64))]
+        step = 5_000  # pieces sorted at a time; a key's pieces stay together
         a = 0
         while a < len(at):
             b = min(len(at), a + step)
             while b < len(at) and key[at[b]] == key[at[b - 1]]:
                 b += 1
-            found.append(_later_windows(raw, start[at[a:b]], n[at[a:b]], doc[at[a:b]], lo[at[a:b]], length))
+            e = at[a:b]
+            found.append(_later_windows(raw, start[e], n[e], doc[e], lo[e], length, dealt[e]))
             a = b
-        d, p = np.concatenate(found, axis=1)
-        return pa.Table.from_batches([ts.dealt(ts.doc_bucket(d, buckets), {"doc": (d, pa.int64()), "lo": (p.astype(np.int32), pa.int32()), "n": (np.ones(len(d), np.int32), pa.int32())})])
+        later, left, named = (np.concatenate(x, axis=1) for x in zip(*found, strict=True))
+        i32, i64 = pa.int32(), pa.int64()
+        d = np.concatenate([ts.gathered(table, "gone_doc", np.int64), later[0]])
+        p = np.concatenate([ts.gathered(table, "gone_lo", np.int32), later[1]]).astype(np.int32)
+        k = np.concatenate([ts.gathered(table, "gone_n", np.int32), np.ones(later.shape[1], np.int32)]).astype(np.int32)
+        ranges = {"doc": (d, i64), "lo": (p, i32), "n": (k, i32)}
+        open_ = {"left_doc": (left[0], i64), "left_lo": (left[1].astype(np.int32), i32), "one": (named[0], i64), "two": (named[1], i64)}
+        return pa.Table.from_batches([ts.dealt_together([(ts.doc_bucket(d, buckets), ranges), ((ts.mix(named[0].view(np.uint64)) % _U(buckets)).astype(np.int32), open_)])])
+
+    def met(table: pa.Table) -> pa.Table:
+        """The ranges, and of equal windows left in several parts of one key all but the earliest."""
+        one, two, doc = (ts.gathered(table, k, np.int64) for k in ("one", "two", "left_doc"))
+        lo = ts.gathered(table, "left_lo", np.int32)
+        order, new = _earliest([one, two], doc, lo)
+        gone = order[~new & ~_tied(order, new, doc, lo)]
+        d = np.concatenate([ts.gathered(table, "doc", np.int64), doc[gone]])
+        p, k = (np.concatenate([ts.gathered(table, c, np.int32), x]).astype(np.int32) for c, x in (("lo", lo[gone]), ("n", np.ones(len(gone), np.int32))))
+        return pa.Table.from_batches([ts.dealt(ts.doc_bucket(d, buckets), {"doc": (d, pa.int64()), "lo": (p, pa.int32()), "n": (k, pa.int32())})])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     texts = source.withColumn("bucket", F.expr(ts.doc_bucket_sql("doc_id", buckets)))
     runs = source.mapInArrow(anchors, _RUNS)
     first = settle(runs.groupBy("bucket").applyInArrow(merged, _RANGES + _NEEDS), "ranges")
-    needs = first.select("bucket", "need_doc", "need_lo", "need_n", "need_off", "need_h").where("size(need_doc) > 0")
+    needs = first.select("bucket", "need_doc", "need_lo", "need_n", "need_off", "need_h", "need_parts").where("size(need_doc) > 0")
     pieces = texts.groupBy("bucket").cogroup(needs.groupBy("bucket")).applyInArrow(cut, _PIECES)
-    second = pieces.groupBy("bucket").applyInArrow(settled, _RANGES)
-    return texts, first.select("bucket", "doc", "lo", "n").where("size(doc) > 0").unionByName(second), buckets
+    second = pieces.groupBy("bucket").applyInArrow(settled, _LEFT).groupBy("bucket").applyInArrow(met, _RANGES)
+    return texts, first.select("bucket", "doc", "lo", "n").where("size(doc) > 0").unionByName(second), first
 
 
-def _later_windows(raw: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
-    """(doc, window start) of the windows of these pieces that equal an earlier one."""
+def _later_windows(raw: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, window start) of the windows of these pieces that equal an earlier one, and of the first ones among pieces
+    that are ``dealt`` in parts, with two hashes of each."""
     size = n + length - 1
     at = np.cumsum(size + 1) - (size + 1)
     text = np.zeros(int((size + 1).sum()), np.uint8)
@@ -308,11 +338,18 @@ def _later_windows(raw: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.nd
     own = owner[order]
     d, p = doc[own], lo[own] + order - at[own]
     by, new = _earliest([group], d, p)
-    later = by[~new & ~_tied(by, new, d, p)]
-    return np.array([d[later], p[later]])
-
-
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+    tied = _tied(by, new, d, p)
+    later, left = by[~new & ~tied], by[new | tied]
+    left = left[dealt[own[left]]]
+    named = np.empty((2, 0), np.int64)
+    if len(left):
+        sums, at = ts.prefix_sums(text, fold=False), order[left]
+        half = length // 2
+        named = np.array([ts.range_hash(sums, at, at + length), ts.range_hash(sums, at, at + half) ^ ts.mix(ts.range_hash(sums, at + half, at + length))]).view(np.int64)
+    return np.array([d[later], p[later]]), np.array([d[left], p[left]]), named
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, most: int = KINDS) -> DataFrame:
     """Bytes removed from each document, and a digest of the rest (``keep_text``: the rest itself, as bytes).
 
     Documents count as UTF-8 bytes, matches never cross them, strings are judged on the input, and the order is
@@ -320,7 +357,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     one place in the order (neither is earlier than the other). Null and empty texts come back empty. Other
     columns are ignored.
     """
-    texts, ranges, _ = removed_ranges(docs, length, gram)
+    texts, ranges, read = removed_ranges(docs, length, gram, most)
 
     def apply(_key: tuple, here: pa.Table, found: pa.Table) -> pa.Table:
         doc, lo, n = ts.gathered(found, "doc", np.int64), ts.gathered(found, "lo", np.int32).astype(np.int64), ts.gathered(found, "n", np.int32).astype(np.int64)
@@ -347,4 +384,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
         out = {"doc_id": pa.array(cols[0], pa.int64()), "n_bytes": pa.array(cols[1], pa.int64()), "n_removed": pa.array(cols[2], pa.int64()), "n_spans": pa.array(cols[3], pa.int64()), "kept_sha256": pa.array(cols[4], pa.string())}
         return pa.table(out | ({"kept": pa.array(cols[5], pa.binary())} if keep_text else {}))
 
-    return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(apply, REPORT + (", kept binary" if keep_text else ""))
+    out = texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(apply, REPORT + (", kept binary" if keep_text else ""))
+    if keep_text:
+        return out
+    out = settle(out, "report")
+    drop(read)
+    return out

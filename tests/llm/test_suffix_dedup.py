@@ -61,3 +61,16 @@ def test_odd_rows(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
     clash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as bucket", "2 as lo", "3 as h")
     assert dedup_substrings(clash).count() == 4
+
+
+def test_passage_in_very_many_surroundings(spark):
+    """One anchor with very many different runs: its pieces are dealt in parts and meet again."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefghij klmnop", k=130))
+    word = lambda k: "".join(rng.choices("qrstuvwxyz ", k=k))
+    rows = [(i * 7 % 1501, word(rng.randint(0, 40)) + passage[rng.randrange(9) : 130 - rng.randrange(9)] + word(rng.randint(0, 40)), None, None, 0) for i in range(1500)]
+    want = plain(rows)
+    assert sum(v[1] > 0 for v in want.values()) > 1400
+    for most in (16, 4096):
+        got = {r.doc_id: tuple(r)[1:] for r in dedup_substrings(frame(spark, rows), most=most).collect()}
+        assert got == want
