@@ -68,7 +68,7 @@ def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table
     """Pairs of one block against another (``side`` 1 and 2), or within one (side 0)."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, side = table.column("asset_id").to_numpy(), table.column("side").to_numpy()
+        kind, ids, side = table.column("asset_id").type, table.column("asset_id").to_numpy(), table.column("side").to_numpy()
         grid = _grid(table.column("vec"))
         x, y = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
         close = _squares(grid[x], grid[y]) < limit * limit * (1 + 1e-9) + 1e-9 * (1 + np.abs(grid).max(initial=0) ** 2)
@@ -84,7 +84,7 @@ def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table
         keep = (far < limit) & (ids[i] != ids[j])
         i, j, far = i[keep], j[keep], far[keep]
         same = {k: table.column(k).combine_chunks().take(pa.array(i)) for k in keys}
-        return pa.table({**same, "a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j])), "distance": pa.array(far)})
+        return pa.table({**same, "a": pa.array(np.minimum(ids[i], ids[j]), kind), "b": pa.array(np.maximum(ids[i], ids[j]), kind), "distance": pa.array(far)})
 
     return pairs
 

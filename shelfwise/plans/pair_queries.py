@@ -101,7 +101,8 @@ def near_groups(t: Tables) -> DataFrame:
     return groups.near_groups(_items(t), pairs.pivot_pairs(t.feature_prints, K.NEAR), t.feature_prints.select("asset_id", "vec")).select("library_id", "group_id", "reason", "similarity", "members")
 
 
-_VIDEO = f"""with ex as ({_HASH}), vp as (select r.library_id, r.a, r.b from (select v.library_id, v.asset_id as a, w.asset_id as b from assets v join assets w on v.library_id = w.library_id and v.asset_id < w.asset_id and v.media_type = 'video' and w.media_type = 'video' and v.duration = w.duration and v.pixel_width = w.pixel_width and epoch_us(w.creation_date) - epoch_us(v.creation_date) between 0 and 86400000000) r),
+_VIDEO_FRAMES = _FRAMES.replace("video_prints", "video_frames")
+_VIDEO = f"""with ex as ({_HASH}), vp as (select library_id, a, b from ({_VIDEO_FRAMES})),
 pp as (select * from ex union select * from vp), {components('pp')},
 sz as (select asset_id, coalesce(file_size, 0) as bytes from primary_res)
 select c.library_id, component as group_id, case when bool_or(e.a is not null) then 'exactDuplicate' else 'nearDuplicate' end as reason, sum(coalesce(bytes, 0))::bigint as total_bytes, list(x.asset_id order by coalesce(bytes, 0) desc, creation_date desc, x.asset_id) as members
@@ -110,13 +111,10 @@ from comp c join assets x on x.asset_id = c.id left join sz using (asset_id) lef
 
 @query(_VIDEO)
 def video_groups(t: Tables) -> DataFrame:
-    """Near pairs of the test videos: same length and width within a day (their key frames have no print)."""
-    videos = t.assets.where("media_type = 'video'")
-    a = videos.select("library_id", "duration", "pixel_width", F.col("asset_id").alias("a"), F.col("creation_date").alias("ta"), F.to_date("creation_date").alias("day"))
-    b = videos.select("library_id", "duration", "pixel_width", F.col("asset_id").alias("b"), F.col("creation_date").alias("tb"), F.explode(F.array(F.to_date("creation_date"), F.date_sub(F.to_date("creation_date"), 1))).alias("day"))
-    near = a.join(b, ["library_id", "duration", "pixel_width", "day"]).where("a < b and tb >= ta and tb <= ta + interval '1' day").select("library_id", "a", "b")
+    """Components of equal first-frame hashes and of close key frames."""
+    videos = t.assets.where("media_type = 'video'").select("library_id", "asset_id", "creation_date")
     sizes = scans.primary_resource(t.assets, t.asset_resources).select("asset_id", F.col("file_size").alias("bytes"))
-    return groups.video_groups(videos.select("library_id", "asset_id", "creation_date"), sizes, pairs.hash_pairs(_video_hashes(t)), near)
+    return groups.video_groups(videos, sizes, pairs.hash_pairs(_video_hashes(t)), pairs.keyframe_pairs(t.video_frames))
 
 
 def _arrivals(t: Tables) -> DataFrame:

@@ -48,6 +48,10 @@ select vec_id + 1000000, concat('L', label % 3), 0, timestamp '2024-01-01 00:05:
 select asset_id, library_id, frame_idx, vec from feature_prints
 union all
 select asset_id, library_id, 1, list_concat(vec[2:], vec[1:1]) from feature_prints where asset_id % 3 <> 0""",
+    "video_frames": """
+with v as (select asset_id, library_id, asset_id % (select count(*) from embeddings) as vec_id, case asset_id % 5 when 1 then 9e-1 when 2 then 75e-2 when 3 then 6e-1 else 1e0 end as f from assets where media_type = 'video'),
+p as (select asset_id, library_id, list_transform(embedding, lambda x: cast(x as double) * f) as vec from v join embeddings using (vec_id))
+select asset_id, library_id, 0 as frame_idx, vec from p union all select asset_id, library_id, 1, list_concat(vec[2:], vec[1:1]) from p where asset_id % 3 <> 0""",
     "contacts": """
 select p_partkey as contact_id, concat('C', p_partkey % 5) as library_id,
   case p_partkey % 6 when 0 then 'Bob' when 1 then 'Robert' when 2 then 'Róbert' else split_part(p_name, ' ', 1) end as given_name,
@@ -70,11 +74,11 @@ select vec_id as asset_id, 16 as w, 16 as h,
 from embeddings""",
     "vision_signals": f"""
 select a.asset_id, a.library_id, (a.asset_id % 100) / 1e2 as luma, case when a.asset_id % 31 = 0 then 1 else 0 end as barcode_count, case when a.asset_id % 29 = 0 then 0 else 1 end as salient_count,
-  case when a.asset_id % 7 = 0 then cast([] as varchar[]) else list_concat([({strings(SCREENSHOT_WORDS)})[a.asset_id % 12 + 1]], coalesce(string_split(d.text, chr(10)), cast([] as varchar[]))[1:8]) end as ocr_lines,
+  case when a.asset_id % 7 = 0 then cast([] as varchar[]) else list_concat([({strings(SCREENSHOT_WORDS)})[a.asset_id % 12 + 1]], coalesce(string_split(d.text, chr(10)), cast([] as varchar[]))) end as ocr_lines,
   [{{'identifier': ({_PREFIXES})[a.asset_id % 45 + 1], 'confidence': (a.asset_id % 20) / 2e1}}, {{'identifier': ({_PREFIXES})[a.asset_id * 7 % 45 + 1], 'confidence': (a.asset_id % 10) / 2e1}},
    {{'identifier': case when a.asset_id % 41 = 0 then 'laptop_computer' else 'education' end, 'confidence': (a.asset_id % 9) / 2e1}}] as observations,
   case when a.asset_id % 5 = 0 then [{{'left_ear': (a.asset_id % 30) / 1e2, 'right_ear': (a.asset_id % 20) / 1e2, 'capture_quality': (a.asset_id % 50) / 1e2}}] else [] end as faces
-from assets a left join (select doc_id, text from documents where doc_id < 200) d on d.doc_id = a.asset_id % 200""",
+from assets a left join documents d on d.doc_id = a.asset_id % (select count(*) from documents)""",
     "class_probs": """
 select asset_id, library_id, label, (asset_id * k % 7) / 7e0 as confidence
 from assets, (values ('sharp', 1), ('blurry', 2), ('overexposed', 3), ('underexposed', 4)) t(label, k)

@@ -76,6 +76,14 @@ class Tables:
         turned = p.where("asset_id % 3 <> 0").selectExpr("asset_id", "library_id", "1 as frame_idx", "concat(slice(vec, 2, size(vec) - 1), slice(vec, 1, 1)) as vec")
         return p.union(turned)
 
+    @cached_property
+    def video_frames(self) -> DataFrame:
+        """Key frames of the test videos: one print or two, of vectors that a few videos share, at several scales."""
+        e = self.read("embeddings")
+        v = self.assets.where("media_type = 'video'").selectExpr("asset_id", "library_id", f"asset_id % {max(1, e.count())} as vec_id", "case asset_id % 5 when 1 then 9e-1 when 2 then 75e-2 when 3 then 6e-1 else 1e0 end as f")
+        p = v.join(e.select("vec_id", "embedding"), "vec_id").selectExpr("asset_id", "library_id", "0 as frame_idx", "transform(embedding, x -> cast(x as double) * f) as vec")
+        return p.union(p.where("asset_id % 3 <> 0").selectExpr("asset_id", "library_id", "1", "concat(slice(vec, 2, size(vec) - 1), slice(vec, 1, 1))"))
+
     @cached_property
     def contacts(self) -> DataFrame:
         return self.read("part").selectExpr(
@@ -113,14 +121,15 @@ class Tables:
     def vision_signals(self) -> DataFrame:
         words = F.array(*[F.lit(w) for w in SCREENSHOT_WORDS])
         prefixes = F.array(*[F.lit(p) for c in CATEGORY_PREFIXES.values() for p in c])
-        texts = self.read("documents").where("doc_id < 200").select(F.col("doc_id").alias("d"), F.split("text", "\n").alias("lines"))
-        a = self.assets.selectExpr("asset_id", "library_id", "asset_id % 200 as d").join(F.broadcast(texts), "d", "left")  # at most 200 rows
+        documents = self.read("documents")
+        texts = documents.select(F.col("doc_id").alias("d"), F.split("text", "\n").alias("lines"))
+        a = self.assets.selectExpr("asset_id", "library_id", f"asset_id % {max(1, documents.count())} as d").join(texts, "d", "left")
         i = F.col("asset_id")
         face = F.expr("named_struct('x', 0.25D, 'y', 0.25D, 'w', 0.5D, 'h', 0.5D, 'left_ear', (asset_id % 30) / 1e2, 'right_ear', (asset_id % 20) / 1e2, 'capture_quality', (asset_id % 50) / 1e2)")
         faces = F.when(i % 5 == 0, F.array(face))
         return a.select(
             "asset_id", "library_id", ((i % 100) / 1e2).alias("luma"), F.when(i % 31 == 0, 1).otherwise(0).alias("barcode_count"), F.when(i % 29 == 0, 0).otherwise(1).alias("salient_count"),
-            F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(F.element_at(words, (i % 12).cast("int") + 1)), F.slice(F.coalesce("lines", F.array().cast("array<string>")), 1, 8))).alias("ocr_lines"),
+            F.when(i % 7 == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array(F.element_at(words, (i % 12).cast("int") + 1)), F.coalesce("lines", F.array().cast("array<string>")))).alias("ocr_lines"),
             F.array(
                 F.struct(F.element_at(prefixes, (i % 45).cast("int") + 1).alias("identifier"), ((i % 20) / 2e1).alias("confidence")),
                 F.struct(F.element_at(prefixes, (i * 7 % 45).cast("int") + 1).alias("identifier"), ((i % 10) / 2e1).alias("confidence")),
