@@ -1,4 +1,4 @@
-"""Streaming jobs, each drained over the table's rows in order of time and compared with its batch twin."""
+"""Streaming jobs, each drained over the table's rows in several micro-batches and compared with its batch twin."""
 
 from __future__ import annotations
 
@@ -11,32 +11,33 @@ from shelfwise.operators import scans
 from shelfwise.plans.asset_queries import _ROLLS
 from shelfwise.plans.registry import query
 from shelfwise.plans.signal_queries import _NEW, _UPSERT, _new_signals, _rounded
-from shelfwise.session import shared_dir
+from shelfwise.session import drop, settle, shared_dir
 from shelfwise.sources.adapters import Tables
 from shelfwise.streaming import jobs
 
 FILES = 4
 
 
-def _stream(t: Tables, rows: DataFrame, order: str, files: int = 1) -> tuple[DataFrame, str]:
-    """The rows as files that arrive one after another, in no certain order, and a folder for the job.
+def _stream(t: Tables, rows: DataFrame, order: str, far: int = 0) -> tuple[DataFrame, str]:
+    """The rows as files that arrive one after another, each its own micro-batch, and a folder for the job.
 
-    Jobs over event time take all files at once, or what comes in late would be dropped.
+    ``far`` more files hold one row a library, each 400 days on, so that the watermark passes all before.
     """
     path = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(f"{path}/in")
-    return jobs.source(t.spark, f"{path}/in", rows, files), path
+    parts = settle(rows.repartitionByRange(FILES, order).withColumn("part", F.spark_partition_id()), "arrivals")
+    for k in range(FILES):
+        parts.where(F.col("part") == k).drop("part").sortWithinPartitions(order).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    last = rows.groupBy("library_id").agg(F.max(order).alias("last")) if far else None
+    for k in range(1, far + 1):
+        ahead = {order: F.col("last") + F.expr(f"interval '{400 * k}' day"), "library_id": F.col("library_id")}
+        last.select(*[ahead.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    drop(parts)
+    return jobs.source(t.spark, f"{path}/in", rows, 1), path
 
 
-def _closed(t: Tables, rows: DataFrame) -> tuple[DataFrame, str]:
-    """Like :func:`_stream` for event time: two later files of one far row a library close all windows."""
-    path = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartitionByRange(FILES, "creation_date").write.parquet(f"{path}/in")
-    libraries = rows.groupBy("library_id").agg(F.max("creation_date").alias("last"))
-    for days in (400, 800):
-        far = libraries.select(*[(F.col("last") + F.expr(f"interval '{days}' day")).alias(c) if c == "creation_date" else F.col(c) if c == "library_id" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
-        far.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return jobs.source(t.spark, f"{path}/in", rows, 100), path
+def _before(rows: DataFrame, t: Tables) -> DataFrame:
+    """Without what the far rows gave."""
+    return rows.join(t.assets.groupBy("library_id").agg(F.max("creation_date").alias("last")), "library_id").where("start_at <= last").drop("last")
 
 
 @query("select library_id, sum(bytes)::bigint as bytes, sum(n)::bigint as n from deletions group by 1")
@@ -53,20 +54,20 @@ def stream_affinity(t: Tables) -> DataFrame:
 
 @query("select library_id, time_bucket(interval '15 minutes', creation_date) as start_at, count(*) as n from assets group by 1, 2")
 def stream_windowed_intake(t: Tables) -> DataFrame:
-    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 100)
-    return jobs.drain(jobs.windowed_intake(stream), path, "complete")
+    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 2)
+    return _before(jobs.drain(jobs.windowed_intake(stream), path), t)
 
 
 @query("with s as (select *, case when epoch_us(creation_date) - lag(epoch_us(creation_date)) over w <= 1800000000 then 0 else 1 end as f from assets window w as (partition by library_id order by creation_date, asset_id)), x as (select *, sum(f) over (partition by library_id order by creation_date, asset_id rows unbounded preceding) as session from s) select library_id, min(creation_date) as start_at, max(creation_date) as end_at, count(*) as n from x group by library_id, session")
 def stream_event_sessions(t: Tables) -> DataFrame:
-    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 100)
-    return jobs.drain(jobs.event_sessions(stream), path, "complete")
+    stream, path = _stream(t, t.assets.select("library_id", "creation_date"), "creation_date", 2)
+    return _before(jobs.drain(jobs.event_sessions(stream), path), t)
 
 
 @query(_ROLLS + "select library_id, members, start_at, end_at, n, lat, lon from rolls")
 def stream_event_rolls(t: Tables) -> DataFrame:
     rows = scans.images(t.assets, True).select("library_id", "asset_id", "creation_date", "latitude", "longitude")
-    stream, path = _closed(t, rows)
+    stream, path = _stream(t, rows, "creation_date", 2)
     return jobs.drain(jobs.event_rolls(stream), path)
 
 
@@ -74,7 +75,7 @@ def stream_event_rolls(t: Tables) -> DataFrame:
 def stream_exact_duplicates(t: Tables) -> DataFrame:
     rows = scans.images(t.assets, True).select("library_id", "asset_id", "creation_date").join(t.dhashes.select("asset_id", "dhash"), "asset_id")
     stream, path = _stream(t, rows.select("library_id", "asset_id", "dhash"), "asset_id")
-    known = jobs.VersionedTable(t.spark, f"{path}/known", rows.select("library_id", "dhash", F.array("asset_id").alias("members")))
+    known = jobs.VersionedTable(t.spark, f"{path}/known", rows.select("library_id", "dhash", F.array("asset_id").alias("members")), ["library_id", "dhash"])
     jobs.exact_duplicates(stream, known, f"{path}/marks").awaitTermination()
     return known.read().where("size(members) >= 2")
 
@@ -82,8 +83,8 @@ def stream_exact_duplicates(t: Tables) -> DataFrame:
 @query(f"with {_NEW} {_UPSERT}")
 def stream_cache_upsert(t: Tables) -> DataFrame:
     stream, path = _stream(t, _new_signals(t), "asset_id")
-    table = jobs.VersionedTable(t.spark, f"{path}/cache", t.asset_analysis)
-    table.rewrite(-1, t.asset_analysis)
+    table = jobs.VersionedTable(t.spark, f"{path}/cache", t.asset_analysis, ["asset_id"])
+    table.write(-1, t.asset_analysis)
     jobs.cache_upsert(stream, table, f"{path}/marks").awaitTermination()
     return _rounded(table.read())
 
@@ -91,6 +92,6 @@ def stream_cache_upsert(t: Tables) -> DataFrame:
 @query("select library_id, count(*) as n from assets group by 1")
 def stream_new_assets(t: Tables) -> DataFrame:
     stream, path = _stream(t, t.assets.select("library_id", "asset_id"), "asset_id")
-    counts = jobs.VersionedTable(t.spark, f"{path}/counts", t.spark.createDataFrame([], "library_id string, n long"))
+    counts = jobs.VersionedTable(t.spark, f"{path}/counts", t.spark.createDataFrame([], "library_id string, n long"), ["library_id"])
     jobs.new_assets(stream, counts, f"{path}/marks").awaitTermination()
     return counts.read()

@@ -99,28 +99,51 @@ def foreach(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
 
 
 class VersionedTable:
-    """A table rewritten by each batch into a new folder; replaying a batch writes the same folder again."""
+    """A table in buckets by key, of which a batch rewrites those that it touches, into a folder of its own.
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
-        self.spark, self.path, self.schema = spark, path, empty.schema
-        empty.limit(0).write.mode("overwrite").parquet(f"{path}/v-1")
-        self.last = -1
+    Replaying a batch reads what was there before it and writes the same folder again; which folders are there is
+    read from the file system, so a restarted job goes on where the last one stopped.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, like: DataFrame, keys: list[str], buckets: int = 16):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, like.schema, keys, buckets
+
+    def _bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.last if version is None else version}")
+    def _folders(self, before: int | None) -> dict[int, str]:
+        """The newest folder of each bucket, of batches ``before`` one."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/bucket=*")
+        newest: dict[int, tuple[int, str]] = {}
+        for status in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []:
+            folder = status.getPath().toString()
+            batch, bucket = int(folder.split("/")[-2][1:]), int(folder.rsplit("=", 1)[1])
+            if (before is None or batch < before) and batch >= newest.get(bucket, (-2, ""))[0]:
+                newest[bucket] = (batch, folder)
+        return {b: folder for b, (_, folder) in newest.items()}
 
-    def rewrite(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        self.last = batch
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        folders = [f for b, f in self._folders(before).items() if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def write(self, batch: int, df: DataFrame) -> None:
+        self._bucket(df.select(self.schema.names)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{batch}")
+
+    def merge(self, batch: int, changes: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Rewrite the buckets of ``changes`` as ``merged(old rows, changes)``; keys never leave the table."""
+        touched = [r.bucket for r in self._bucket(changes).select("bucket").distinct().collect()]
+        if touched:
+            self.write(batch, merged(self.read(batch, touched), changes))
 
 
 def exact_duplicates(stream: DataFrame, known: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Hashes of arriving pictures join the known ones: state is one row a hash with its members."""
 
+    def both(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("library_id", "dhash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
+
     def merge(batch: DataFrame, no: int) -> None:
-        new = batch.where("dhash is not null").groupBy("library_id", "dhash").agg(F.collect_set("asset_id").alias("members"))
-        both = known.read(no - 1).unionByName(new).groupBy("library_id", "dhash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
-        known.rewrite(no, both)
+        known.merge(no, batch.where("dhash is not null").groupBy("library_id", "dhash").agg(F.collect_set("asset_id").alias("members")), both)
 
     return foreach(stream, merge, checkpoint)
 
@@ -130,7 +153,7 @@ def cache_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str) -> S
 
     def merge(batch: DataFrame, no: int) -> None:
         newest = batch.groupBy("asset_id").agg(F.max_by(F.struct(*batch.columns), "modification_date").alias("x")).select("x.*")
-        table.rewrite(no, cache.upsert(table.read(no - 1), newest))
+        table.merge(no, newest, cache.upsert)
 
     return foreach(stream, merge, checkpoint)
 
@@ -139,8 +162,7 @@ def new_assets(stream: DataFrame, counts: VersionedTable, checkpoint: str) -> St
     """Counts of arrivals a library, refreshed by each batch."""
 
     def refresh(batch: DataFrame, no: int) -> None:
-        both = counts.read(no - 1).unionByName(batch.groupBy("library_id").agg(F.count("*").alias("n")))
-        counts.rewrite(no, both.groupBy("library_id").agg(F.sum("n").alias("n")))
+        counts.merge(no, batch.groupBy("library_id").agg(F.count("*").alias("n")), lambda old, new: old.unionByName(new).groupBy("library_id").agg(F.sum("n").alias("n")))
 
     return foreach(stream, refresh, checkpoint)
 
