@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwise.operators.groups import key_of
+from shelfwise.operators.groups import key_of, merge_replace
 
 REASONS = ("exactDuplicate", "nearDuplicate", "visuallySimilar", "burstShot")
 
@@ -43,16 +43,26 @@ def members_marked(groups: DataFrame, state: DataFrame) -> DataFrame:
     return rows.join(marked(state).withColumn("marked", F.lit(True)), ["library_id", "asset_id"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
 
 
-def build_decisions(groups: DataFrame, state: DataFrame, labels: DataFrame, scores: DataFrame) -> DataFrame:
-    """(library_id, group_id, kept_id, deleted): groups with marks and at least one member left.
+def build_decisions(groups: DataFrame, state: DataFrame, labels: DataFrame, scores: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(library_id, group_id, kept_id, kept_vec, deleted): groups with marks and at least one member left.
 
-    The least member that is not marked counts as kept; the deleted ones carry labels and scores.
+    The least member that is not marked counts as kept; the deleted ones carry labels, scores and vectors. Members
+    without a vector have a null one.
     """
     rows = members_marked(groups, state)
-    rows = rows.join(labels.select("asset_id", "labels"), "asset_id", "left").join(scores.select("asset_id", "score"), "asset_id", "left")
-    gone = F.array_sort(F.collect_list(F.when(F.col("marked"), F.struct("asset_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.coalesce("score", F.lit(0.5)).alias("score")))))
-    out = rows.groupBy("library_id", "group_id").agg(F.min(F.when(~F.col("marked"), F.col("asset_id"))).alias("kept_id"), gone.alias("deleted"))
-    return out.where("kept_id is not null and size(deleted) > 0")
+    rows = rows.join(labels.select("asset_id", "labels"), "asset_id", "left").join(scores.select("asset_id", "score"), "asset_id", "left").join(vectors.select("asset_id", "vec"), "asset_id", "left")
+    fields = ("asset_id", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.coalesce("score", F.lit(0.5)).alias("score"), "vec")
+    gone = F.array_sort(F.collect_list(F.when(F.col("marked"), F.struct(*fields))))
+    kept = F.min(F.when(~F.col("marked"), F.struct("asset_id", "vec")))
+    out = rows.groupBy("library_id", "group_id").agg(kept.alias("kept"), gone.alias("deleted"))
+    return out.where("kept is not null and size(deleted) > 0").select("library_id", "group_id", F.col("kept.asset_id").alias("kept_id"), F.col("kept.vec").alias("kept_vec"), "deleted")
+
+
+def decision_vectors(decisions: DataFrame) -> DataFrame:
+    """(library_id, group_id, asset_id, vec, label): both sides of decisions that carry their vectors."""
+    kept = decisions.where("kept_vec is not null").select("library_id", "group_id", F.col("kept_id").alias("asset_id"), F.col("kept_vec").alias("vec"), F.lit("kept").alias("label"))
+    gone = decisions.select("library_id", "group_id", F.explode("deleted").alias("d")).where("d.vec is not null").select("library_id", "group_id", "d.asset_id", "d.vec", F.lit("deleted").alias("label"))
+    return kept.union(gone)
 
 
 def deletion_plan(groups: DataFrame, state: DataFrame, bytes_: DataFrame) -> DataFrame:
@@ -63,18 +73,44 @@ def deletion_plan(groups: DataFrame, state: DataFrame, bytes_: DataFrame) -> Dat
     return freed.join(touched, "library_id", "left").select("library_id", "n", "bytes", F.coalesce("completed", F.lit(0)).alias("completed"))
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Every result as a table of its own under ``path``, the version row last: a reader that finds it finds all."""
+#: Tables of a snapshot and their columns; a version that lacks one reads as empty.
+TABLES = {
+    "groups": "library_id string, group_id long, reason string, members array<long>", "blurry": "library_id string, asset_id long", "screenshots": "library_id string, asset_id long",
+    "large": "library_id string, ids array<long>, sizes array<long>", "files": "library_id string, path string", "rolls": "library_id string, members array<long>", "picks": "library_id string, asset_id long",
+}
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str, version: int, files_there: DataFrame | None = None) -> None:
+    """Every result as a table in a folder of this version, the header last: a reader that finds it finds all, and until
+    then the version before. Rows of ``files`` whose path is not in ``files_there`` are left out."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if name == "files" and files_there is not None:
+            df = df.join(files_there.select("path").distinct(), "path", "left_semi")
+        df.select(*TABLES_COLUMNS[name]).write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, sorted(tables))], "version int, names array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/snapshots")
+    spark.createDataFrame([(version, sorted(tables))], "version int, names array<string>").coalesce(1).write.mode("append").json(f"{path}/snapshots")
+
+
+TABLES_COLUMNS = {name: [c.split(" ")[0] for c in columns.split(", ")] for name, columns in TABLES.items()}
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a snapshot; late columns of its header default to empty."""
-    head = spark.read.schema("version int, names array<string>").json(f"{path}/snapshots").first()
-    return {n: spark.read.parquet(f"{path}/{n}") for n in (head.names or [])}
+    """Tables of the newest version whose header is there; tables that it lacks are empty."""
+    head = spark.read.schema("version int, names array<string>").json(f"{path}/snapshots").orderBy(F.desc("version")).first()
+    return {n: spark.read.schema(c).parquet(f"{path}/v{head.version}/{n}") if n in (head.names or []) else spark.createDataFrame([], c) for n, c in TABLES.items()}
+
+
+def refresh_snapshot(before: dict[str, DataFrame], found: DataFrame, blurry: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables of the next snapshot, new results a library): found groups merged into the previous ones, blurry pictures
+    added to the known ones, everything else as it was."""
+    cols = TABLES_COLUMNS["groups"]
+    both = before["groups"].select(*cols).withColumn("arrival", F.lit(0)).unionByName(found.select(*cols).withColumn("arrival", F.lit(1)))
+    merged = merge_replace(both)
+    known = keyed(before["groups"]).select("library_id", "key").distinct()
+    fresh = merged.join(known, ["library_id", "key"], "left_anti").select("library_id")
+    seen = append_new(before["blurry"], blurry.select("library_id", "asset_id"), ["library_id", "asset_id"])
+    added = blurry.join(before["blurry"], ["library_id", "asset_id"], "left_anti").select("library_id")
+    return before | {"groups": merged.select(*cols), "blurry": seen}, fresh.unionAll(added).groupBy("library_id").agg(F.count("*").alias("n"))
 
 
 SNAPSHOT = "version int, saved_at double, groups array<struct<ids: array<long>, similarity: double, reason: string>>, blurry array<long>, screenshots array<long>, large_ids array<long>, large_sizes array<long>"

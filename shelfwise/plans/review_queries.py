@@ -127,19 +127,43 @@ def rebuild_groups(t: Tables) -> DataFrame:
     return review.rebuild(t.groups, t.assets.where("not in_trash"))
 
 
-@query(f"with {_REBUILT} select * from rb")
+_LARGE = "lg as (select library_id, list(asset_id order by asset_id) as ids, list(file_size order by asset_id) as sizes from first_res where file_size >= 900000000 group by 1), lz as (select library_id, unnest(ids) as id, unnest(sizes) as size from lg where length(library_id) % 2 = 0)"
+
+
+def _large(t: Tables) -> DataFrame:
+    """Two parallel lists a library; every second one, by the length of its name, has lost a size."""
+    rows = scans.first_resource_bytes(t.asset_resources).where("bytes >= 900000000")
+    pairs = rows.groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("asset_id", "bytes"))).alias("x"))
+    cut = F.when(F.length("library_id") % 2 == 0, F.size("x")).otherwise(F.size("x") - 1)
+    return pairs.select("library_id", F.col("x.asset_id").alias("ids"), F.slice(F.col("x.bytes"), F.lit(1), cut).alias("sizes"))
+
+
+def _paths(t: Tables) -> DataFrame:
+    return t.files.where("not is_dir").select(F.lit("files").alias("library_id"), "path")
+
+
+@query(f"with {_REBUILT}, {_LARGE} select library_id, 'group' as kind, array_to_string(members, ',') as key, cast(len(members) as bigint) as size from rb union all select library_id, 'large', cast(id as varchar), size from lz union all select library_id, 'blurry', cast(asset_id as varchar), null from asset_analysis where is_blurry")
 def snapshot_read(t: Tables) -> DataFrame:
-    """Write a snapshot, read it back and rebuild its groups over what is left."""
+    """A snapshot read back: groups over what is left, lists of equal length zipped, tables that it lacks empty."""
     path = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
-    review.write_snapshot({"groups": t.groups, "blurry": t.asset_analysis.where("is_blurry").select("library_id", "asset_id")}, path, 3)
-    return review.rebuild(review.read_snapshot(t.spark, path)["groups"], t.assets.where("not in_trash"))
+    review.write_snapshot({"groups": t.groups, "blurry": t.asset_analysis.where("is_blurry"), "large": _large(t)}, path, 3)
+    found = review.read_snapshot(t.spark, path)
+    rebuilt = review.rebuild(found["groups"], t.assets.where("not in_trash")).select("library_id", F.lit("group").alias("kind"), F.concat_ws(",", F.transform("members", lambda x: x.cast("string"))).alias("key"), F.size("members").cast("long").alias("size"))
+    large = review.zip_parallel(found["large"], "ids", "sizes").select("library_id", F.lit("large"), F.col("id").cast("string"), "size")
+    flat = [found[n].select("library_id", F.lit(n), F.col("asset_id").cast("string"), F.lit(None).cast("long")) for n in ("blurry", "screenshots", "picks")]
+    return rebuilt.union(large).union(flat[0]).union(flat[1]).union(flat[2])
 
 
-@query("select library_id, group_id, reason, members from groups")
+@query("select library_id, 'groups' as kind, count(*) as n from groups group by 1 union all select library_id, 'blurry', count(*) from asset_analysis where is_blurry group by 1 union all select library_id, 'screenshots', count(*) from assets where media_type = 'image' and media_subtypes & 4 <> 0 group by 1 union all select 'files', 'files', count(*) from files where not is_dir and path in (select path from files where length % 3000000 <> 0)")
 def snapshot_write(t: Tables) -> DataFrame:
+    """Two versions written; the newer one is read, without the files that are gone."""
     path = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
-    review.write_snapshot({"groups": t.groups.select("library_id", "group_id", "reason", "members")}, path, 3)
-    return review.read_snapshot(t.spark, path)["groups"].select("library_id", "group_id", "reason", "members")
+    blurry, shots = t.asset_analysis.where("is_blurry"), scans.images(t.assets, True).where(scans.has_bit(K.SCREENSHOT))
+    review.write_snapshot({"groups": t.groups.limit(0), "blurry": blurry}, path, 3)
+    review.write_snapshot({"groups": t.groups, "blurry": blurry, "screenshots": shots, "files": _paths(t)}, path, 4, t.files.where("length % 3000000 <> 0"))
+    found = review.read_snapshot(t.spark, path)
+    counts = [found[n].groupBy("library_id").agg(F.count("*").alias("n")).select("library_id", F.lit(n).alias("kind"), "n") for n in ("groups", "blurry", "screenshots", "files")]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 @query("select library_id, asset_id from asset_analysis where is_blurry")
@@ -180,12 +204,15 @@ def deletion_plan(t: Tables) -> DataFrame:
     return review.deletion_plan(t.groups, t.review_state, scans.first_resource_bytes(t.asset_resources))
 
 
-@query(f"with {_MARKS}, {S._SCORE} select gm.library_id, group_id, min(id) filter (not m) as kept_id, list_sort(list(id) filter (m)) as deleted_ids, round(sum(coalesce(score, 0.5)) filter (m), 4) as score_sum, sum(len(coalesce(labels, cast([] as varchar[])))) filter (m) as n_labels from gm left join qs on qs.asset_id = gm.id left join sg on sg.asset_id = gm.id group by 1, 2 having min(id) filter (not m) is not null and count(*) filter (m) > 0")
+@query(f"with {_MARKS}, {S._SCORE} select gm.library_id, group_id, min(id) filter (not m) as kept_id, list_sort(list(id) filter (m)) as deleted_ids, round(sum(coalesce(score, 0.5)) filter (m), 4) as score_sum, sum(len(coalesce(labels, cast([] as varchar[])))) filter (m) as n_labels, round(coalesce(sum(list_sum(av.vec)) filter (m), 0), 6) as vec_sum, count(av.vec) filter (m) as n_vecs, list_sum(arg_min(coalesce(av.vec, [0e0]), id) filter (not m)) as kept_sum from gm left join qs on qs.asset_id = gm.id left join sg on sg.asset_id = gm.id left join asset_vectors av on av.asset_id = gm.id group by 1, 2 having min(id) filter (not m) is not null and count(*) filter (m) > 0")
 def build_decisions(t: Tables) -> DataFrame:
-    out = review.build_decisions(t.groups, t.review_state, S._signals(t), S._scores(t))
+    """Decisions with labels, scores and vectors of the deleted side, and the kept side's vector; vectors by their sums."""
+    out = review.build_decisions(t.groups, t.review_state, S._signals(t), S._scores(t), t.asset_vectors)
+    total_of = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     total = F.aggregate("deleted", F.lit(0.0), lambda s, d: s + d["score"])
     labels = F.aggregate("deleted", F.lit(0).cast("long"), lambda s, d: s + F.size(d["labels"]))
-    return out.select("library_id", "group_id", "kept_id", F.transform("deleted", lambda d: d["asset_id"]).alias("deleted_ids"), F.round(total, 4).alias("score_sum"), labels.alias("n_labels"))
+    return out.select("library_id", "group_id", "kept_id", F.transform("deleted", lambda d: d["asset_id"]).alias("deleted_ids"), F.round(total, 4).alias("score_sum"), labels.alias("n_labels"),
+        F.round(F.aggregate("deleted", F.lit(0.0), lambda s, d: s + F.coalesce(total_of(d["vec"]), F.lit(0.0))), 6).alias("vec_sum"), F.size(F.filter("deleted", lambda d: d["vec"].isNotNull())).cast("long").alias("n_vecs"), F.coalesce(total_of(F.col("kept_vec")), F.lit(0.0)).alias("kept_sum"))
 
 
 @query("select library_id, count(kept_vec_id) as n, count(kept_vec_id) >= 50 as ready from user_decisions group by 1")
@@ -222,14 +249,25 @@ def personalize_model(t: Tables) -> DataFrame:
 
 
 @query(f"""{S._LAP}, {S._FRESH}, bs as (select a.asset_id, a.library_id from assets a left join fr using (asset_id) left join bl using (asset_id) where a.media_type = 'image' and a.media_subtypes & 4 = 0 and coalesce(fr.is_blurry, bl.is_blurry)),
-cur as (select library_id, group_id, reason, members from exact_groups), prev as (select library_id, group_id, reason, members from groups where reason <> 'exactDuplicate'),
+cur as (select library_id, group_id, reason, members from exact_groups), prev as (select library_id, group_id, reason, members from groups),
 k as (select *, array_to_string(list_sort(list_transform(members, lambda x: cast(x as varchar))), ',') as key from (select *, 1 as arrival from cur union all select *, 0 from prev)),
-m as (select library_id, key, reason, row_number() over (partition by library_id, key order by case reason when 'exactDuplicate' then 3 when 'nearDuplicate' then 2 when 'burstShot' then 1 else 0 end desc, arrival) as n from k)
-select library_id, 'group' as kind, key, reason from m where n = 1 union all select library_id, 'blurry', cast(asset_id as varchar), null from bs""")
+m as (select library_id, key, reason, row_number() over (partition by library_id, key order by case reason when 'exactDuplicate' then 3 when 'nearDuplicate' then 2 when 'burstShot' then 1 else 0 end desc, arrival, group_id) as n, count(*) filter (arrival = 0) over (partition by library_id, key) as was from k),
+old as (select library_id, asset_id from asset_analysis where asset_id % 6 = 0 and is_blurry),
+nb as (select library_id, asset_id from bs where (library_id, asset_id) not in (select library_id, asset_id from old))
+select library_id, 'group' as kind, key, reason from m where n = 1 union all select library_id, 'blurry', cast(asset_id as varchar), null from (select * from old union all select * from nb)
+union all select library_id, 'screenshots', cast(asset_id as varchar), null from assets where media_type = 'image' and media_subtypes & 4 <> 0
+union all select library_id, 'new', cast(sum(c) as varchar), null from (select library_id, count(*) as c from m where n = 1 and was = 0 group by 1 union all select library_id, count(*) from nb group by 1) group by 1""")
 def background_refresh(t: Tables) -> DataFrame:
-    """Exact duplicates and blur, merged into the previous groups."""
-    cols = ["library_id", "group_id", "reason", "members"]
-    now = groups.exact_duplicates(scans.images(t.assets), t.dhashes).select(*cols).withColumn("arrival", F.lit(1))
-    merged = groups.merge_replace(now.unionByName(t.groups.where("reason <> 'exactDuplicate'").select(*cols).withColumn("arrival", F.lit(0))))
+    """Exact duplicates and blur, merged into the previous snapshot and written as the next; the rest stays."""
+    path = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    shots = scans.images(t.assets, True).where(scans.has_bit(K.SCREENSHOT))
+    review.write_snapshot({"groups": t.groups, "blurry": t.asset_analysis.where("asset_id % 6 = 0 and is_blurry"), "screenshots": shots}, path, 3)
+    now = groups.exact_duplicates(scans.images(t.assets), t.dhashes)
     blur = S.blur_scan(t).where("is_blurry").join(t.assets.select("asset_id", "library_id"), "asset_id")
-    return merged.select("library_id", F.lit("group").alias("kind"), "key", "reason").union(blur.select("library_id", F.lit("blurry"), F.col("asset_id").cast("string"), F.lit(None).cast("string")))
+    tables, new = review.refresh_snapshot(review.read_snapshot(t.spark, path), now, blur)
+    review.write_snapshot(tables, path, 4)
+    found = review.read_snapshot(t.spark, path)
+    out = review.keyed(found["groups"]).select("library_id", F.lit("group").alias("kind"), "key", "reason")
+    for n in ("blurry", "screenshots"):
+        out = out.union(found[n].select("library_id", F.lit(n), F.col("asset_id").cast("string"), F.lit(None).cast("string")))
+    return out.union(new.select("library_id", F.lit("new"), F.col("n").cast("string"), F.lit(None).cast("string")))

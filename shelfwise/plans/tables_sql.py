@@ -48,6 +48,8 @@ select vec_id + 1000000, concat('L', label % 3), 0, timestamp '2024-01-01 00:05:
 select asset_id, library_id, frame_idx, vec from feature_prints
 union all
 select asset_id, library_id, 1, list_concat(vec[2:], vec[1:1]) from feature_prints where asset_id % 3 <> 0""",
+    "asset_vectors": """
+select asset_id, list_transform(embedding, lambda x: cast(x as double)) as vec from (select asset_id, asset_id % (select count(*) from embeddings) as vec_id from assets where asset_id % 3 <> 1) join embeddings using (vec_id)""",
     "video_frames": """
 with v as (select asset_id, library_id, asset_id % (select count(*) from embeddings) as vec_id, case asset_id % 5 when 1 then 9e-1 when 2 then 75e-2 when 3 then 6e-1 else 1e0 end as f from assets where media_type = 'video'),
 p as (select asset_id, library_id, list_transform(embedding, lambda x: cast(x as double) * f) as vec from v join embeddings using (vec_id))
@@ -86,7 +88,7 @@ where media_type = 'image' and asset_id % 3 <> 0 and not (asset_id % 9 = 1 and k
     "token_vectors": """
 select token, list_transform(embedding, lambda x: cast(x as double)) as vec
 from (select distinct token from (select unnest(string_split(lower(p_type), ' ')) as token from part union all select unnest(string_split(lower(replace(p_brand, '#', ' ')), ' ')) from part) where token <> '') t
-join embeddings e on e.vec_id = (ascii(token) * 31 + length(token) * 7 + ascii(substr(token, 2, 1))) % 200 where e.vec_id < 200""",
+join embeddings e on e.vec_id = (ascii(token) * 31 + length(token) * 7 + ascii(substr(token, 2, 1))) % (select count(*) from embeddings)""",
     "places": """
 select n_nationkey as place_id, 37e0 + n_nationkey * 1e-3 as lat, -122e0 as lon, case when n_nationkey % 7 <> 0 then n_name end as locality, r_name as country
 from nation join region on n_regionkey = r_regionkey""",

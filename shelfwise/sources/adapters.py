@@ -76,6 +76,13 @@ class Tables:
         turned = p.where("asset_id % 3 <> 0").selectExpr("asset_id", "library_id", "1 as frame_idx", "concat(slice(vec, 2, size(vec) - 1), slice(vec, 1, 1)) as vec")
         return p.union(turned)
 
+    @cached_property
+    def asset_vectors(self) -> DataFrame:
+        """One vector an asset, for two assets in three."""
+        e = self.read("embeddings")
+        a = self.assets.where("asset_id % 3 <> 1").selectExpr("asset_id", f"asset_id % {max(1, e.count())} as vec_id")
+        return a.join(e.select("vec_id", "embedding"), "vec_id").selectExpr("asset_id", "transform(embedding, x -> cast(x as double)) as vec")
+
     @cached_property
     def video_frames(self) -> DataFrame:
         """Key frames of the test videos: one print or two, of vectors that a few videos share, at several scales."""
@@ -149,8 +156,9 @@ class Tables:
         brands = self.read("part").select(F.explode(F.split(F.lower(F.regexp_replace("p_brand", "#", " ")), " ")).alias("token"))
         tokens = types.union(brands).where("token <> ''").distinct()
         # the vector of a token is that of a row given by its letters
-        n = F.expr("pmod(ascii(token) * 31 + length(token) * 7 + ascii(substring(token, 2)), 200)")
-        return tokens.withColumn("vec_id", n.cast("long")).join(self.read("embeddings").where("vec_id < 200").selectExpr("vec_id", "transform(embedding, x -> cast(x as double)) as vec"), "vec_id").select("token", "vec")
+        e = self.read("embeddings")
+        n = F.expr(f"pmod(ascii(token) * 31 + length(token) * 7 + ascii(substring(token, 2)), {max(1, e.count())})")
+        return tokens.withColumn("vec_id", n.cast("long")).join(e.selectExpr("vec_id", "transform(embedding, x -> cast(x as double)) as vec"), "vec_id").select("token", "vec")
 
     @cached_property
     def places(self) -> DataFrame:
