@@ -28,6 +28,13 @@ def exact_duplicates(images: DataFrame, hashes: DataFrame) -> DataFrame:
     return out.select("library_id", "group_id", F.lit("exactDuplicate").alias("reason"), F.lit(0.0).alias("similarity"), "members", "newest")
 
 
+def exact_members(images: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(library_id, group_id, asset_id, n): the same groups a row a member, for hashes that very many images share."""
+    rows = images.join(hashes.where("dhash is not null"), ["library_id", "asset_id"]).select("library_id", "dhash", "asset_id")
+    heads = rows.groupBy("library_id", "dhash").agg(F.count("*").alias("n"), F.min("asset_id").alias("group_id")).where("n >= 2")
+    return rows.join(heads, ["library_id", "dhash"]).select("library_id", "group_id", "asset_id", "n")
+
+
 def burst_groups(images: DataFrame) -> DataFrame:
     rows = images.where("burst_identifier is not null")
     out = rows.groupBy("library_id", "burst_identifier").agg(F.count("*").alias("n"), _ordered(epoch_us(F.col("creation_date"))).alias("members"), F.min("asset_id").alias("group_id"), F.max("creation_date").alias("newest")).where("n >= 2")

@@ -20,6 +20,11 @@ def exact_duplicates(t: Tables) -> DataFrame:
     return groups.exact_duplicates(scans.images(t.assets), t.dhashes).orderBy(F.desc("newest"), "group_id")
 
 
+@query("select library_id, group_id, unnest(members) as asset_id, len(members) as n from exact_groups")
+def exact_members(t: Tables) -> DataFrame:
+    return groups.exact_members(scans.images(t.assets), t.dhashes)
+
+
 @query("select library_id, group_id, newest from exact_groups")
 def newest_groups_first(t: Tables) -> DataFrame:
     return groups.exact_duplicates(scans.images(t.assets), t.dhashes).select("library_id", "group_id", "newest").orderBy(F.desc("newest"), "group_id")

@@ -104,7 +104,7 @@ from labels l join documents d using (doc_id)""",
 select event_type as library_id, event_id, ts, cast(round(value * 100) as bigint) * 10000 as bytes, cast(1 + event_id % 3 as int) as n,
   (['darkShot', 'qrCode', 'screenPhoto', 'whiteboard', 'memeForwarded', 'eyesClosed', 'blurryPhoto', 'noSubject', 'lowLight', 'sharedPhoto'])[event_id % 10 + 1] as reason
 from events""",
-    "affinity": "select library_id, reason, least(count(*), 5) as deleted from deletions where event_id % 40 in (3, 5, 21) group by 1, 2",
+    "affinity": "select library_id, reason, count(*) % 7 as deleted from deletions group by 1, 2",
     "groups": """
 select library_id, members[1] as group_id, reason, members from (
   select event_type as library_id, event_id // 24 as g, (['exactDuplicate', 'nearDuplicate', 'visuallySimilar', 'burstShot'])[(event_id // 24) % 4 + 1] as reason, list(event_id order by event_id) as members
@@ -116,9 +116,9 @@ union all select library_id, 'skipped', array_to_string(members, ',') from group
     "user_decisions": """
 select decision_id, o_orderstatus as library_id, o_orderdate as recorded_at, kept_id, kept_vec_id, deleted
 from orders join (
-  select l_orderkey as decision_id, l_orderkey * 10 + l_linenumber as kept_id, case when l_orderkey % 4 <> 0 then l_partkey % 500 end as kept_vec_id from lineitem where l_linenumber = 1) k on k.decision_id = o_orderkey
+  select l_orderkey as decision_id, l_orderkey * 10 + l_linenumber as kept_id, case when l_orderkey % 4 <> 0 then l_partkey % (select count(*) from embeddings) end as kept_vec_id from lineitem where l_linenumber = 1) k on k.decision_id = o_orderkey
 left join (
-  select l_orderkey as did, list({'asset_id': l_orderkey * 10 + l_linenumber, 'label': l_returnflag, 'score': cast(l_quantity as double) / 5e1, 'vec_id': l_partkey % 500} order by l_linenumber) as deleted
+  select l_orderkey as did, list({'asset_id': l_orderkey * 10 + l_linenumber, 'label': l_returnflag, 'score': cast(l_quantity as double) / 5e1, 'vec_id': l_partkey % (select count(*) from embeddings)} order by l_linenumber) as deleted
   from lineitem where l_linenumber > 1 group by 1) g on g.did = o_orderkey""",
 }
 

@@ -195,8 +195,8 @@ class Tables:
 
     @cached_property
     def affinity(self) -> DataFrame:
-        """Deletions so far, a few a library."""
-        return self.deletions.where("event_id % 40 in (3, 5, 21)").groupBy("library_id", "reason").agg(F.least(F.count("*"), F.lit(5)).alias("deleted"))
+        """Deletions so far: what is left of their counts beyond multiples of seven, so that few and many occur."""
+        return self.deletions.groupBy("library_id", "reason").agg((F.count("*") % 7).alias("deleted"))
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -217,7 +217,8 @@ class Tables:
     def user_decisions(self) -> DataFrame:
         """An order is a decision: its first line is kept, the others are deleted."""
         o, l = self.read("orders"), self.read("lineitem")
-        line = l.selectExpr("l_orderkey as decision_id", "l_linenumber as no", "l_partkey % 500 as vec_id", "l_orderkey * 10 + l_linenumber as asset_id", "cast(l_quantity as double) / 5e1 as score", "l_returnflag as label")
+        vectors = max(1, self.read("embeddings").count())
+        line = l.selectExpr("l_orderkey as decision_id", "l_linenumber as no", f"l_partkey % {vectors} as vec_id", "l_orderkey * 10 + l_linenumber as asset_id", "cast(l_quantity as double) / 5e1 as score", "l_returnflag as label")
         kept = line.where("no = 1").selectExpr("decision_id", "asset_id as kept_id", "case when decision_id % 4 <> 0 then vec_id end as kept_vec_id")
         gone = line.where("no > 1").groupBy("decision_id").agg(F.array_sort(F.collect_list(F.struct("asset_id", "label", "score", "vec_id"))).alias("deleted"))
         head = o.selectExpr("o_orderkey as decision_id", "o_orderstatus as library_id", "o_orderdate as recorded_at")
