@@ -35,8 +35,9 @@ def _parts(edits: int) -> str:
 def name_candidates(keys: DataFrame, edits: int) -> DataFrame:
     """(library_id, na, nb): distinct name forms that may be within ``edits``; loses none.
 
-    Of ``edits + 1`` parts of a text at least one is left whole by so many edits, at most ``edits`` places away
-    in a text whose length differs by no more: an equi-join on (length, part, content).
+    Of ``edits + 1`` parts of a text at least one is left whole by so many edits in a text whose length differs by no
+    more. Counted from the left, the first such part i (from 0) can have moved by i places; counted from the right, by
+    the difference in length and what edits are left: an equi-join on (length, part, content) over those places.
     """
     names = keys.where("full_name <> ''").select("library_id", "n", "rn", "e", "re").distinct()
     start, end = _parts(edits), _parts(edits).replace("i *", "(i + 1) *")
@@ -44,7 +45,8 @@ def name_candidates(keys: DataFrame, edits: int) -> DataFrame:
     right = right.select("library_id", "nb", "eb", "form", "l", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"), "y").withColumn("part", F.expr(f"substring(y, {start} + 1, {end} - {start})"))
     left = names.select("library_id", F.col("n").alias("na"), F.col("e").alias("ea"), F.expr("inline(array(struct('n' as form, n as x), struct('n' as form, rn as x), struct('e' as form, e as x), struct('e' as form, re as x)))")).distinct()
     left = left.withColumn("m", F.length("x")).withColumn("l", F.explode(F.sequence(F.greatest(F.lit(0), F.col("m") - edits), F.col("m") + edits))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(edits))))
-    left = left.withColumn("at", F.expr(start)).withColumn("size", F.expr(f"{end} - {start}")).withColumn("shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits)))).where("at + shift >= 0 and at + shift + size <= m and (size > 0 or shift = 0)")
+    left = left.withColumn("at", F.expr(start)).withColumn("size", F.expr(f"{end} - {start}")).withColumn("low", F.expr(f"greatest(-i, m - l - ({edits} - i))")).withColumn("high", F.expr(f"least(i, m - l + ({edits} - i))"))
+    left = left.where("low <= high").withColumn("shift", F.explode(F.sequence("low", "high"))).where("if(size = 0, shift = low, at + shift >= 0 and at + shift + size <= m)")
     left = left.withColumn("part", F.expr("substring(x, at + shift + 1, size)"))
     return left.join(right.drop("y"), ["library_id", "form", "l", "i", "part"]).select("library_id", "na", "ea", "nb", "eb").distinct()
 

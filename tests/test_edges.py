@@ -275,3 +275,31 @@ def test_lsh_recall(spark):
     key = lambda d: {(r.library_id, r.a, r.b) for r in d.collect()}
     want, got = key(pairs.pivot_pairs(df, 0.2)), key(pairs.lsh_pairs(df, 0.2))
     assert got <= want and len(got) > 0.6 * len(want)
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_names_within_edits_are_all_found(spark, edits):
+    rng = random.Random(edits)
+    names = set()
+    while len(names) < 90:
+        base = "".join(rng.choices("abc", k=rng.randint(1, 9)))
+        names.add(base)
+        x = list(base)
+        for _ in range(rng.randint(1, edits + 1)):
+            k, at = rng.randrange(3), rng.randrange(len(x) + 1)
+            x = x[:at] + [rng.choice("abc")] + x[at:] if k == 0 else x[:at] + x[at + 1 :] if k == 1 else x[:at] + [rng.choice("abc")] + x[at + 1 :]
+        names.add("".join(x) or "a")
+    names = sorted(names)
+    keys = spark.createDataFrame([("L", i, n, n, n, n, n) for i, n in enumerate(names)], "library_id string, contact_id long, full_name string, n string, rn string, e string, re string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, cb in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (ca != cb))
+        return row[-1]
+
+    want = {(a, b) for a in names for b in names if distance(a, b) <= edits}
+    got = {(r.na, r.nb) for r in contacts.name_candidates(keys, edits).collect()}
+    assert want <= got
