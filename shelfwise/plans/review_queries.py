@@ -166,6 +166,16 @@ def snapshot_write(t: Tables) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
+@query("select library_id, group_id, group_id % 3 + 1 as version, case when group_id % 3 = 1 then 1 else 0 end as n_groups, case when group_id % 3 = 0 then len(members) else 0 end as n_blurry, case when group_id % 3 = 1 then members[1] end as first_id from groups")
+def decode_with_defaults(t: Tables) -> DataFrame:
+    """Snapshot documents of three versions, of which each lacks some lists."""
+    ids = F.concat_ws(", ", F.transform("members", lambda x: x.cast("string")))
+    document = F.when(F.col("group_id") % 3 == 0, F.format_string('{"version": 1, "blurry": [%s]}', ids)).when(F.col("group_id") % 3 == 1, F.format_string('{"version": 2, "blurry": null, "groups": [{"ids": [%s], "reason": "burstShot"}]}', ids)).otherwise('{"version": 3}')
+    rows = t.groups.select("library_id", "group_id", document.alias("document")).withColumn("s", review.decode_snapshot())
+    first = F.get(F.get("s.groups", F.lit(0))["ids"], F.lit(0))
+    return rows.select("library_id", "group_id", F.col("s.version").alias("version"), F.size("s.groups").alias("n_groups"), F.size("s.blurry").alias("n_blurry"), first.alias("first_id"))
+
+
 @query("select library_id, asset_id from asset_analysis where is_blurry")
 def snapshot_recover(t: Tables) -> DataFrame:
     """Blurry pictures of a snapshot; libraries whose list is empty take them from the cache."""

@@ -334,3 +334,29 @@ pk as (select library_id, asset_id, reason, case when deleted >= 3 then 1 else 3
 @query(f"with {_PICKS} select * from pk")
 def smart_picks(t: Tables) -> DataFrame:
     return picks.smart_picks(_candidates(t), _lowest(t), scans.images(t.assets), _wasted(t), t.affinity)
+
+
+@query("select asset_id, round(list_avg(list_transform(range(0, 85), lambda k: 0.2126e0 * (px[3 * k + 1] / 255e0) + 0.7152e0 * (px[3 * k + 2] / 255e0) + 0.0722e0 * (px[3 * k + 3] / 255e0))), 6) as brightness from luma")
+def luma_bt709(t: Tables) -> DataFrame:
+    """Mean brightness of pixels read as red, green and blue."""
+    part = lambda k, c: F.get("px", (3 * k + c).cast("int")) / F.lit(255.0)
+    each = F.transform(F.sequence(F.lit(0), F.lit(84)), lambda k: image.luma_bt709(part(k, 0), part(k, 1), part(k, 2)))
+    return t.luma.select("asset_id", F.round(image.mean(each), 6).alias("brightness"))
+
+
+_POINTS = "p as (select vec_id as asset_id, case when vec_id % 7 = 0 then 3 else 6 end as n, list_transform(embedding[1:12], lambda v: cast(v as double)) as e from embeddings), xy as (select asset_id, n, list_max(e[1:n]) - list_min(e[1:n]) as sx, list_max(e[7:6 + n]) - list_min(e[7:6 + n]) as sy from p)"
+
+
+@query(f"with {_POINTS} select asset_id, round(case when n >= 4 and sx > 0.01 then sy / sx else 1e0 end, 6) as aspect from xy")
+def eye_aspect(t: Tables) -> DataFrame:
+    """Height to width of landmarks taken from vectors; every seventh has too few of them."""
+    last = F.when(F.col("vec_id") % 7 == 0, 2).otherwise(5)
+    points = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get("embedding", i).cast("double").alias("x"), F.get("embedding", i + 6).cast("double").alias("y")))
+    return t.read("embeddings").select(F.col("vec_id").alias("asset_id"), points.alias("points")).select("asset_id", F.round(image.eye_aspect(F.col("points")), 6).alias("aspect"))
+
+
+@query("select asset_id, 0.25e0 * pixel_width as x, 0.25e0 * pixel_height as y, 0.5e0 * pixel_width as w, 0.5e0 * pixel_height as h from assets where asset_id % 5 = 0")
+def face_pixel_rect(t: Tables) -> DataFrame:
+    """Faces of all pictures in pixels, counted from the top left."""
+    faces = t.vision_signals.select("asset_id", F.explode("faces").alias("f")).join(t.assets.select("asset_id", "pixel_width", "pixel_height"), "asset_id")
+    return faces.select("asset_id", image.face_rect(F.col("f"), F.col("pixel_width"), F.col("pixel_height")).alias("r")).select("asset_id", "r.*")
