@@ -157,3 +157,41 @@ def test_very_long_texts(spark):
     assert got[9_500].lang_pred == "bb" and 0 <= got[9_501].score <= 1
     labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in Q.classify(d, labels).collect())
+
+
+def test_predictions_equal_plain_version(spark):
+    """Word by word, chains of at most CHAIN words, sums over labelings in logarithms."""
+    import pyarrow as pa
+
+    from shelfwise.llm import textscan as ts
+
+    rows = docs(240, seed=9)
+    rng = random.Random(14)
+    rows += [(5_000 + i, " ".join(prose(rng, x, rng.randint(1, 50)) for x in rng.choices(sorted(STEMS), k=4)), None, None, 0) for i in range(25)] + [(6_000, "42 !", None, None, 0), (6_001, "ther", None, None, 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = L.train(frame)
+    got = {r.doc_id: r for r in L.predict(frame.repartition(3), model).collect()}
+    k, total = len(model.langs), lambda x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+
+    def posteriors(e):
+        t, s = model.transition.astype(float), model.start.astype(float)
+        ahead = [[s[j] + e[0][j] for j in range(k)]]
+        for x in e[1:]:
+            ahead.append([total([ahead[-1][i] + t[i, j] for i in range(k)]) + x[j] for j in range(k)])
+        back = [[0.0] * k]
+        for x in e[:0:-1]:
+            back.insert(0, [total([t[i, j] + x[j] + back[0][j] for j in range(k)]) for i in range(k)])
+        z = total(ahead[-1])
+        return [[math.exp(a + b - z) for a, b in zip(p, q, strict=True)] for p, q in zip(ahead, back, strict=True)]
+
+    for d, text, *_ in rows[:40] + rows[240:]:
+        buf, offs = ts.text_parts(pa.array([text]))
+        starts, ends, _ = ts.words(buf, offs, L.LETTERS)
+        if not any(c.isalpha() for c in text):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0)
+            continue
+        sums = ts.prefix_sums(buf)
+        each = [model.emissions(*L.features(buf, sums, starts[i : i + 1], ends[i : i + 1]))[0].astype(float).tolist() for i in range(len(starts))]
+        every = [p for a in range(0, len(each), L.CHAIN) for p in posteriors(each[a : a + L.CHAIN])]
+        mean = [sum(p[j] for p in every) / len(every) for j in range(k)]
+        assert got[d].lang_pred == model.langs[mean.index(max(mean))] and abs(got[d].score - max(mean)) < 1e-3
