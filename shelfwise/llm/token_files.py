@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textscan as ts
-from shelfwise.session import partitions, settle
+from shelfwise.session import drop, partitions, settle
 
 END = 0
 #: Documents whose ids train the dictionary, and ids taken of each; both bounds hold at any corpus size.
@@ -272,6 +272,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     settled = settle(source.mapInArrow(frames, "doc_id long, n int, data binary"), "frames")
     settled.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "data").mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
+    drop(settled)
 
 
 def _part_starts(shards: DataFrame) -> dict[int, int]:
