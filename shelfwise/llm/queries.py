@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm.decontaminate import contamination
 from shelfwise.llm.embedding_dedup import near_duplicates
+from shelfwise.llm.fingerprints import ANCHORS, CHAIN, DIGITS, RATIO, STRIDE, fingerprint_edits
 from shelfwise.llm.jaccard_join import jaccard_components
 from shelfwise.llm.language_crf import identify
 from shelfwise.llm.lm_scoring import lm_scores
 from shelfwise.llm.mixing import schedule
+from shelfwise.llm.periodic_runs import find_runs
 from shelfwise.llm.quality_knn import classify
 from shelfwise.llm.secrets import find_secrets
 from shelfwise.llm.suffix_dedup import dedup_substrings
 from shelfwise.llm.token_files import token_index, write_token_files
+from shelfwise.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, compress
 from shelfwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +150,78 @@ reach as (
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.low as component_id
 from sets s join (select id, min(low) as low from reach group by id) r on r.id = s.doc_id
 """
+
+
+@_query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+_LISTED = ", ".join(f"'{w}'" for w in ANCHORS)
+_SIGNED = """(
+  select *, case when len(s) > 0 then s when t = '' then [] else [left(md5(lower(t)), {digits})] end as sigs from (
+  select *, list_sort(list_distinct(list_transform(c, lambda x, j: left(md5(array_to_string(string_split(concat_ws(' ', x, c[j + 1], c[j + 2]), ' ')[1:{chain}], ' ')), {digits})))) as s from (
+  select *, list_filter(list_transform(string_split(array_to_string(list_transform(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: case when w in ({listed}) or (w <> '' and length(w) % {stride} = 0) then chr(1) else w end), ' '), chr(1))[2:], lambda x: trim(x)), lambda x: x <> '') as c
+  from {table})))"""
+
+
+def _signed(table: str) -> str:
+    return _SIGNED.format(table=table, listed=_LISTED, stride=STRIDE, chain=CHAIN, digits=DIGITS)
+
+
+def _class(x: str) -> str:
+    return f"len(list_filter([{', '.join(str(RATIO**k) for k in range(1, 6))}], lambda x: x <= len({x})))"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"case when {a} = {b} then 1e0 when len({a}) = 0 or len({b}) = 0 or abs({_class(a)} - {_class(b)}) > 1 then 0e0 else cast(len(list_intersect({a}, {b})) as double) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) end"
+
+
+SQL["op11_fingerprints"] = f"""
+with own as (select doc_id, t, sigs from {_signed("(select doc_id, coalesce(text, '') as t from documents)")}),
+pairs as (
+  select *, coalesce(lead(t) over w, first_value(t) over w) as next_t, coalesce(lead(sigs) over w, first_value(sigs) over w) as next_sigs
+  from own window w as (order by doc_id desc rows between unbounded preceding and unbounded following)),
+cut as (
+  select doc_id, length(t) as n, sigs as own_sigs, next_sigs, concat(left(t, length(t) - length(t) // 2), left(next_t, length(t) // 2)) as t
+  from pairs)
+select doc_id, n as n_chars, sha256(t) as edited_sha256, array_to_string(own_sigs, '') as fingerprint, array_to_string(sigs, '') as edited_fingerprint,
+  {_alike("own_sigs", "sigs")} as near_edited, {_alike("own_sigs", "next_sigs")} as near_next, cast(len(own_sigs) as bigint) as n_signatures, cast({_class("own_sigs")} as int) as length_class
+from {_signed("cut")}
+"""
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_table(spark, sf_dir, "embeddings"))
+
+
+def _assigned(k: int) -> str:
+    """Nearest entry of codebook ``k`` for each part of each vector."""
+    return f"""a{k} as (select vec_id, p, v, arg_min(e, far * {ENTRIES} + e) as e, min(far) as far from (
+  select s.vec_id, s.p, s.v, b.e, list_sum(list_transform(list_zip(s.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far from part s join b{k} b using (p)) group by all)"""
+
+
+SQL["op12_vector_codes"] = f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(embedding) % {PARTS} = 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+part as (select vec_id, label, p, v[p * (len(v) // {PARTS}) + 1 : (p + 1) * (len(v) // {PARTS})] as v from kept, range({PARTS}) r(p)),
+b0 as (select p, row_number() over (partition by p order by vec_id) - 1 as e, v from part qualify e < {ENTRIES}),
+{_assigned(0)},
+""" + "".join(
+    f"""m{k} as (select p, e, list(cast(floor(t / n) as bigint) order by i) as v from (select p, e, i, sum(x) as t, count(*) as n from (select p, e, unnest(v) as x, generate_subscripts(v, 1) as i from a{k - 1}) group by all) group by all),
+b{k} as (select b.p, b.e, coalesce(m.v, b.v) as v from b{k - 1} b left join m{k} m on m.p = b.p and m.e = b.e),
+{_assigned(k)},
+"""
+    for k in range(1, ROUNDS + 1)
+) + f"""coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(far)::bigint as error from a{ROUNDS} group by vec_id),
+sums as (select label, sum(error)::bigint as label_error from coded join kept using (vec_id) group by label)
+select c.vec_id, code, error, label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from b{ROUNDS}) as codebooks_sha256
+from coded c join kept k using (vec_id) join sums s on s.label is not distinct from k.label
+"""
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(_table(spark, sf_dir, "documents"), edit=True)
