@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm import textscan as ts
@@ -339,7 +339,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
-        reps: dict[int, int] = {}  # content -> first document of this chunk
+        reps: dict[int, int] = {}  # content -> the document of this chunk that stands for it
+        least: dict[int, int] = {}  # content -> its least document in this chunk
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -349,6 +350,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             if reps:
                 f = np.fromiter(reps, np.uint64, len(reps)).view(np.int64)
                 yield _batch(of(f), 1, f, np.fromiter(reps.values(), np.int64, len(reps)))
+                yield _batch(of(f), 4, f, np.fromiter((least[c] for c in reps), np.int64, len(reps)))
 
         for ids, found in _sets(batches, size):
             docs_, rep_ = ids.to_numpy(zero_copy_only=False), []
@@ -359,16 +361,18 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
                 content = int(ts.mix(np.add.reduce(ts.mix(x), keepdims=True) + _U(len(x)))[0])
                 rep = reps.get(content)
                 if rep is None:
-                    rep = reps[content] = d
+                    rep = reps[content] = least[content] = d
                     k = group_keys(x, percent)
                     keys.append(k)
                     nodes.append(np.full(len(k), d, np.int64))
                     held += len(k) + 1
+                elif d < least[content]:
+                    least[content] = d
                 rep_.append(rep)
             yield _batch(ts.doc_bucket(docs_, buckets), 2, docs_, np.array(rep_, np.int64), np.array([len(x) for x in found]))
             if held >= CHUNK:
                 yield from flush()
-                keys, nodes, reps, held = [], [], {}, 0
+                keys, nodes, reps, least, held = [], [], {}, {}, 0
         yield from flush()
 
     def met(table: pa.Table) -> pa.Table:
@@ -384,11 +388,12 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
         at = kind == 2
         put(2, a[at], b[at], c[at])
-        at = kind == 1
+        at = kind == 4
         order = np.lexsort((b[at], a[at]))
-        f, d = a[at][order], b[at][order]
-        new = np.append(True, f[1:] != f[:-1]) if len(f) else np.empty(0, bool)
-        put(1, d, d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))] if len(d) else d)
+        known, first = np.unique(a[at][order], return_index=True)
+        low = b[at][order][first]
+        at = kind == 1
+        put(1, b[at], low[np.searchsorted(known, a[at])])
         at = kind == 0
         order = np.lexsort((b[at], a[at]))
         k, d = a[at][order], b[at][order]
@@ -461,10 +466,11 @@ def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({"rep": ids, "n": pa.array([len(x) for x in found], pa.int32()), "counts": pa.array([sketch(x) for x in found], pa.binary())})
 
 
-def _one_of_each(rows: DataFrame, key: str, *more: Column) -> DataFrame:
-    """Keys and their totals; of keys that hold the very same documents, one."""
-    lists = rows.groupBy(key).agg(F.count("*").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("t"), *more)
-    return lists.groupBy("total", "s", "t").agg(F.min_by(F.struct(*[c for c in lists.columns if c not in ("s", "t")]), key).alias("x")).select("x.*")
+def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """Keys; of those that compare the very same documents with each other, one."""
+    row = [F.col(c) for c in ("rep", "q", "side")]
+    lists = rows.groupBy(key).agg(F.count("*").alias("total"), F.bit_xor(F.xxhash64(*row)).alias("s"), F.bit_xor(F.xxhash64(*row, F.lit(7))).alias("t"))
+    return lists.groupBy("total", "s", "t").agg(F.min(key).alias(key))
 
 
 def _open(keys: DataFrame, sketches: DataFrame, joined: DataFrame) -> DataFrame:

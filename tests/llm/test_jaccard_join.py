@@ -163,3 +163,35 @@ def test_sketch_bounds_the_overlap():
     assert (bound >= real).all() and bound[1] - real[1] < 40
     full = Sketches([bytes([255] * 64)] * 2, np.array([64 * 255 + 100, 64 * 255 + 30]))
     assert full.overlap(np.array([0]), np.array([1])).tolist() == [64 * 255 + 30]
+
+
+def test_rows_in_any_order(spark):
+    """The component is its least doc_id wherever copies stand, in any partition, block by block too."""
+    rows = [(d, "three equal texts of a few words", None, None, 0) for d in (5, 3, 9)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert got == {5: 3, 3: 3, 9: 3}
+    rng = random.Random(12)
+    for seed in range(2):
+        texts = [" ".join(f"s{seed}t{t}w{i}" for i in range(60)) for t in range(4)]
+        rows = []
+        for i in range(240):
+            words = rng.choice(texts).split(" ")
+            for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
+                words[rng.randrange(60)] = f"x{rng.randrange(8)}"
+            rows.append((i, " ".join(words), None, None, 0))
+        want = plain(rows)
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, SCHEMA).coalesce(1 + seed % 3)
+        got = {r.doc_id: tuple(r)[1:] for r in jaccard_components(docs, block=(3, 4096)[seed]).collect()}
+        assert got == want
+
+
+def test_keys_of_the_same_rows_in_different_blocks(spark):
+    """A search of two blocks doesn't stand for one that compares all the same rows."""
+    from shelfwise.llm.jaccard_join import _one_of_each
+
+    whole = [(1, r, True, 0) for r in (10, 11, 12, 13)]
+    halves = [(2, r, True, 1 + k // 2) for k, r in enumerate((10, 11, 12, 13))]
+    again = [(3, r, True, 0) for r in (13, 12, 11, 10)]
+    rows = spark.createDataFrame(whole + halves + again, "place long, rep long, q boolean, side int")
+    assert sorted(r.place for r in _one_of_each(rows, "place").collect()) == [1, 2]
