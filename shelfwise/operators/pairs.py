@@ -145,12 +145,22 @@ def all_hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
     return a.join(b, ["library_id", "i", "v"]).where("a < b").where(hamming64(F.col("ha"), F.col("hb")) <= bits).select("library_id", "a", "b").distinct()
 
 
-def keyframe_pairs(frames: DataFrame, limit: float = K.KEYFRAME) -> DataFrame:
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends are not in one component of ``joined`` (id, component)."""
+    a, b = (joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
+    labelled = pairs.join(a, "a", "left").join(b, "b", "left")
+    return labelled.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select(pairs.columns)
+
+
+def keyframe_pairs(frames: DataFrame, limit: float = K.KEYFRAME, joined: DataFrame | None = None) -> DataFrame:
     """(library_id, a, b, distance): videos whose index-aligned frames are on average closer than ``limit``.
 
-    A mean below the limit needs one frame below it, so candidates come from the exact frame join.
+    A mean below the limit needs one frame below it, so candidates come from the exact frame join. Those that
+    are in one component of ``joined`` already are left out before any vector is fetched.
     """
     candidates = pivot_pairs(frames, limit, extra=("frame_idx",)).select("library_id", "a", "b").distinct()
+    if joined is not None:
+        candidates = apart(candidates, joined)
     a = frames.select("library_id", F.col("asset_id").alias("a"), "frame_idx", F.col("vec").alias("va"))
     b = frames.select("library_id", F.col("asset_id").alias("b"), "frame_idx", F.col("vec").alias("vb"))
     both = candidates.join(a, ["library_id", "a"]).join(b, ["library_id", "b", "frame_idx"])

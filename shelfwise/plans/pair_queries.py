@@ -10,6 +10,7 @@ from shelfwise.operators import groups, pairs, scans
 from shelfwise.operators.components import connected_components
 from shelfwise.plans.registry import query
 from shelfwise.plans.tables_sql import components
+from shelfwise.session import settle
 from shelfwise.sources.adapters import Tables
 
 _EXACT = "select library_id, group_id, reason, similarity, members, newest from exact_groups"
@@ -119,7 +120,8 @@ def video_groups(t: Tables) -> DataFrame:
     """Components of equal first-frame hashes and of close key frames."""
     videos = t.assets.where("media_type = 'video'").select("library_id", "asset_id", "creation_date")
     sizes = scans.primary_resource(t.assets, t.asset_resources).select("asset_id", F.col("file_size").alias("bytes"))
-    return groups.video_groups(videos, sizes, pairs.hash_pairs(_video_hashes(t)), pairs.keyframe_pairs(t.video_frames))
+    exact = settle(pairs.hash_pairs(_video_hashes(t)), "exact")
+    return groups.video_groups(videos, sizes, exact, pairs.keyframe_pairs(t.video_frames, joined=connected_components(exact)))
 
 
 def _arrivals(t: Tables) -> DataFrame:

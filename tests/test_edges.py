@@ -303,3 +303,9 @@ def test_names_within_edits_are_all_found(spark, edits):
     want = {(a, b) for a in names for b in names if distance(a, b) <= edits}
     got = {(r.na, r.nb) for r in contacts.name_candidates(keys, edits).collect()}
     assert want <= got
+
+
+def test_pairs_of_one_component_are_left_out(spark):
+    found = spark.createDataFrame([("L", 1, 2), ("L", 1, 3), ("L", 3, 4), ("L", 5, 6)], "library_id string, a long, b long")
+    joined = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "id long, component long")
+    assert sorted(tuple(r) for r in pairs.apart(found, joined).collect()) == [("L", 1, 3), ("L", 3, 4)]
