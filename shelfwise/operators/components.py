@@ -47,3 +47,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def extend_components(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (id, component) that ``pairs`` (a, b) add to ``known``, itself such rows of earlier calls.
+
+    Components only grow and are named by their least id, so the component of an id is the least of its rows, and
+    adding rows twice changes nothing. Of ``known`` only the ids in ``pairs`` and the members of components that
+    lose their name are looked up; the rounds run over the names that meet, as many as there are pairs at most.
+    """
+    pairs = settle(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    was = known.join(ids, "id", "left_semi").groupBy("id").agg(F.min("component").alias("old"))
+    at = settle(ids.join(was, "id", "left").select("id", F.coalesce("old", "id").alias("name"), F.col("old").isNull().alias("fresh")), "names")
+    ends = [at.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("a", "b")]
+    found = connected_components(pairs.join(ends[0], "a").join(ends[1], "b"), "a_name", "b_name")
+    names = found.withColumnRenamed("id", "name")
+    fresh = at.where("fresh").join(names, "name").select("id", "component")
+    moved = names.where("name <> component")
+    again = known.withColumnRenamed("component", "name").join(moved, "name").select("id", "component")
+    out = settle(fresh.union(again).groupBy("id").agg(F.min("component").alias("component")), "extended")
+    drop(pairs, at, found)
+    return out

@@ -49,7 +49,12 @@ def component_of(pairs: DataFrame) -> DataFrame:
 
 def similar_groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """Components of similar pairs; ``items`` brings library, time and size."""
-    rows = component_of(pairs).join(items, "asset_id")
+    return similar_groups_of(items, component_of(pairs))
+
+
+def similar_groups_of(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same from components (asset_id, component)."""
+    rows = labels.join(items, "asset_id")
     out = rows.groupBy("library_id", "component").agg(_ordered(*newest()).alias("members"), F.max("creation_date").alias("newest"))
     return out.select("library_id", F.col("component").alias("group_id"), F.lit("visuallySimilar").alias("reason"), F.lit(0.0).alias("similarity"), "members", "newest")
 
@@ -59,7 +64,12 @@ def near_groups(items: DataFrame, pairs: DataFrame, distance_of: DataFrame) -> D
 
     ``distance_of`` (asset_id, vec) gives the vectors of the first two.
     """
-    rows = component_of(pairs).join(items, "asset_id")
+    return near_groups_of(items, component_of(pairs), distance_of)
+
+
+def near_groups_of(items: DataFrame, labels: DataFrame, distance_of: DataFrame) -> DataFrame:
+    """The same from components (asset_id, component)."""
+    rows = labels.join(items, "asset_id")
     out = rows.groupBy("library_id", "component").agg(_ordered(epoch_us(F.col("creation_date"))).alias("members"), F.max("creation_date").alias("newest"))
     first = out.select("component", F.col("members")[0].alias("one"), F.col("members")[1].alias("two"))
     a, b = distance_of.select(F.col("asset_id").alias("one"), F.col("vec").alias("va")), distance_of.select(F.col("asset_id").alias("two"), F.col("vec").alias("vb"))

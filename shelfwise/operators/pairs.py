@@ -36,9 +36,10 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
 
 
-def _homes(pivots: dict[int, np.ndarray], limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _homes(pivots: dict[int, np.ndarray], limit: float, every: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds to each vector its cell, that of the nearest pivot, and a row as ``guest`` of each later cell that may hold
-    a vector closer than ``limit``: one to which its distance is at most that of its own pivot plus twice the limit."""
+    a vector closer than ``limit``: one to which its distance is at most that of its own pivot plus twice the limit.
+    With ``every``, it is a guest of all such cells, the earlier ones and its own too."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +50,13 @@ def _homes(pivots: dict[int, np.ndarray], limit: float) -> Callable[[Iterator[pa
                     part = batch.take(pa.array(at[lo : lo + 2 * BLOCK]))
                     if not dim or dim not in pivots:
                         yield _with(part, np.zeros(part.num_rows, np.int32), False)
+                        if every:
+                            yield _with(part, np.zeros(part.num_rows, np.int32), True)
                         continue
                     far = np.sqrt(np.maximum(_squares(_grid(part.column("vec")), pivots[dim]), 0))
                     home = far.argmin(1)
                     yield _with(part, home.astype(np.int32), False)
-                    row, cell = np.nonzero((far <= far.min(1, keepdims=True) + 2 * limit + 1e-6) & (np.arange(far.shape[1])[None, :] > home[:, None]))
+                    row, cell = np.nonzero((far <= far.min(1, keepdims=True) + 2 * limit + 1e-6) & (every | (np.arange(far.shape[1])[None, :] > home[:, None])))
                     if len(row):
                         yield _with(part.take(pa.array(row)), cell.astype(np.int32), True)
 
@@ -89,37 +92,56 @@ def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table
     return pairs
 
 
-def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(library_id, *extra, a, b, distance) of vectors of a library closer than ``limit``; exact.
+def vectors(prints: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(library_id, *extra, asset_id, vec, dim) of the vectors that can be compared."""
+    return prints.where("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)").select("library_id", *extra, "asset_id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
 
-    Vectors gather in cells about their nearest pivots. By the triangle inequality a vector can only be close to
-    vectors of cells whose pivot is not much further away than its own, and it is sent there as well. Within a
-    cell, blocks are compared with blocks as matrix products; a cell of very many vectors is many blocks. Vectors of
-    different lengths, null ones and those with null elements are close to none. Pivots are a few vectors by hash.
-    """
-    keys = ["library_id", *extra]
-    names = prints.select("asset_id").schema
-    rows = prints.where("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)").select(*keys, "asset_id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
-    count = min(PIVOTS, -(-rows.count() // BLOCK))
+
+def choose_pivots(rows: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """A few of ``total`` vectors by hash, for each length."""
+    count = min(PIVOTS, -(-total // BLOCK))
     chosen: dict[int, list] = {}
     for r in rows.select("dim", "vec").orderBy(F.xxhash64("asset_id"), "asset_id").limit(count).collect() if count > 1 else []:
         chosen.setdefault(r.dim, []).append(r.vec)
-    pivots = {d: np.unique(np.array(v), axis=0) for d, v in chosen.items()}
+    return {d: np.unique(np.array(v), axis=0) for d, v in chosen.items()}
+
+
+def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float, every: bool = False) -> DataFrame:
+    """``rows`` with ``cell`` and ``guest``."""
     schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("guest", T.BooleanType())])
-    homes = settle(rows.mapInArrow(_homes(pivots, limit), schema), "cells")
+    return rows.mapInArrow(_homes(pivots, limit, every), schema)
+
+
+def cell_pairs(homes: DataFrame, limit: float, keys: list[str], within: bool = True) -> DataFrame:
+    """(*keys, a, b, distance) of guests of a cell and its own vectors; ``within`` gives pairs of its own ones too."""
     place = [*keys, "dim", "cell"]
     sizes = homes.groupBy(*place).agg(*[F.expr(f"cast(ceil(count_if(guest = {g}) / {BLOCK}) as int)").alias(n) for g, n in (("false", "own"), ("true", "guests"))])
     blocks = homes.join(sizes, [c for c in place]).withColumn("block", F.pmod(F.xxhash64("asset_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int"))
     # left blocks are those of guests and of the cell, right blocks those of the cell: (whether left are guests, left, right, side)
-    kind = "struct<w:boolean,x:int,y:int,side:int>"
-    left = F.expr("transform(sequence(if(guest, 0, block), own - 1), y -> named_struct('w', guest, 'x', block, 'y', y, 'side', if(not guest and y = block, 0, 1)))")
-    right = F.expr("concat(transform(filter(sequence(0, own), x -> x < block), x -> named_struct('w', false, 'x', cast(x as int), 'y', block, 'side', 2)), transform(filter(sequence(0, guests), x -> x < guests), x -> named_struct('w', true, 'x', cast(x as int), 'y', block, 'side', 2)))")
-    tasks = blocks.where("own > 0").withColumn("meet", F.when(F.col("guest"), left.cast(f"array<{kind}>")).otherwise(F.concat(left.cast(f"array<{kind}>"), right.cast(f"array<{kind}>"))))
+    kind = "array<struct<w:boolean,x:int,y:int,side:int>>"
+    left = F.expr("transform(sequence(if(guest, 0, block), own - 1), y -> named_struct('w', guest, 'x', block, 'y', y, 'side', if(not guest and y = block, 0, 1)))").cast(kind)
+    met = F.expr("transform(filter(sequence(0, guests), x -> x < guests), x -> named_struct('w', true, 'x', cast(x as int), 'y', block, 'side', 2))").cast(kind)
+    right = F.expr("transform(filter(sequence(0, own), x -> x < block), x -> named_struct('w', false, 'x', cast(x as int), 'y', block, 'side', 2))").cast(kind)
+    tasks = blocks.where("own > 0").withColumn("meet", F.when(F.col("guest"), left).otherwise(F.concat(left, right, met) if within else met))
     dealt = tasks.select(*place, "asset_id", "vec", F.inline("meet"))
-    out = T.StructType([*rows.select(*keys).schema.fields, T.StructField("a", names[0].dataType), T.StructField("b", names[0].dataType), T.StructField("distance", T.DoubleType())])
+    asset = homes.schema["asset_id"].dataType
+    out = T.StructType([*homes.select(*keys).schema.fields, T.StructField("a", asset), T.StructField("b", asset), T.StructField("distance", T.DoubleType())])
     return dealt.groupBy(*place, "w", "x", "y").applyInArrow(_block_pairs(keys, limit), out)
 
 
+def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(library_id, *extra, a, b, distance) of vectors of a library closer than ``limit``; exact.
+
+    Vectors gather in cells about their nearest pivots. By the triangle inequality a vector can only be close to
+    vectors of cells whose pivot is not much further away than its own, and it is sent there as well. Within a
+    cell, blocks are compared with blocks as matrix products; a cell of very many vectors is many blocks. Vectors of
+    different lengths, null ones and those with null elements are close to none. Pivots are a few vectors by hash.
+    """
+    rows = vectors(prints, extra)
+    homes = settle(in_cells(rows, choose_pivots(rows, rows.count()), limit), "cells")
+    return cell_pairs(homes, limit, ["library_id", *extra])
+
+
 def hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
     """(library_id, a, b) of items whose 64-bit hashes differ in at most ``bits`` bits; exact.
 

@@ -91,7 +91,10 @@ def _items(t: Tables) -> DataFrame:
     return t.feature_prints.selectExpr("library_id", "asset_id", "creation_date", "cast(100 * (1 + asset_id % 7) as int) as pixel_width", "100 as pixel_height")
 
 
-@query(_COMP + " select f.library_id, component as group_id, 'visuallySimilar' as reason, list(f.asset_id order by 1 + f.asset_id % 7 desc, creation_date desc, f.asset_id) as members from comp join feature_prints f on f.asset_id = comp.id group by 1, 2")
+_SIMILAR = _COMP + " select f.library_id, component as group_id, 'visuallySimilar' as reason, list(f.asset_id order by 1 + f.asset_id % 7 desc, creation_date desc, f.asset_id) as members from comp join feature_prints f on f.asset_id = comp.id group by 1, 2"
+
+
+@query(_SIMILAR)
 def similar_groups(t: Tables) -> DataFrame:
     return groups.similar_groups(_items(t), pairs.bucket_pairs(t.feature_prints)).select("library_id", "group_id", "reason", "members")
 

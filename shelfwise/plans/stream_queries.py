@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import scans
+from shelfwise.operators import groups, incremental, scans
 from shelfwise.plans.asset_queries import _ROLLS
+from shelfwise.plans.pair_queries import _NEAR, _SIMILAR, _items
 from shelfwise.plans.registry import query
 from shelfwise.plans.signal_queries import _NEW, _UPSERT, _new_signals, _rounded
 from shelfwise.session import drop, settle, shared_dir
@@ -95,3 +96,20 @@ def stream_new_assets(t: Tables) -> DataFrame:
     counts = jobs.VersionedTable(t.spark, f"{path}/counts", t.spark.createDataFrame([], "library_id string, n long"), ["library_id"])
     jobs.new_assets(stream, counts, f"{path}/marks").awaitTermination()
     return counts.read()
+
+
+@query(_NEAR)
+def stream_near_groups(t: Tables) -> DataFrame:
+    """Near groups of prints that arrive in four batches, out of order of time and id."""
+    stream, path = _stream(t, t.feature_prints.withColumn("turn", F.xxhash64("asset_id")), "turn")
+    jobs.near_groups(stream, path).awaitTermination()
+    found = incremental.labels(t.spark, path)
+    return groups.near_groups_of(_items(t), found, t.feature_prints.select("asset_id", "vec")).select("library_id", "group_id", "reason", "similarity", "members")
+
+
+@query(_SIMILAR)
+def stream_similar_groups(t: Tables) -> DataFrame:
+    """Similar groups of prints that arrive in four batches, out of order of time and id."""
+    stream, path = _stream(t, t.feature_prints.withColumn("turn", F.xxhash64("asset_id")), "turn")
+    jobs.similar_groups(stream, path).awaitTermination()
+    return groups.similar_groups_of(_items(t), incremental.labels(t.spark, path)).select("library_id", "group_id", "reason", "members")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfwise.functions import constants as K
-from shelfwise.operators import cache
+from shelfwise.operators import cache, incremental
 from shelfwise.operators.sessions import parted, split_rolls
 
 ROLLS = "library_id string, members array<long>, start_at timestamp_ntz, end_at timestamp_ntz, n long, lat double, lon double"
@@ -167,6 +167,16 @@ def new_assets(stream: DataFrame, counts: VersionedTable, checkpoint: str) -> St
     return foreach(stream, refresh, checkpoint)
 
 
+def near_groups(prints: DataFrame, path: str) -> StreamingQuery:
+    """Components of near prints, kept under ``path``; a batch is paired with what it reaches of the earlier ones."""
+    return foreach(prints, lambda batch, no: incremental.near_step(batch, path, no), f"{path}/marks")
+
+
+def similar_groups(prints: DataFrame, path: str) -> StreamingQuery:
+    """Components of similar prints of a time bucket, kept likewise."""
+    return foreach(prints, lambda batch, no: incremental.similar_step(batch, path, no), f"{path}/marks")
+
+
 def drain(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its source and return what it wrote under ``path``."""
     spark = df.sparkSession
