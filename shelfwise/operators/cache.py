@@ -31,14 +31,17 @@ def upsert(cache: DataFrame, new: DataFrame, compat: bool = False) -> DataFrame:
     """Insert or update: a signal that is given overwrites, one that is null keeps the old.
 
     When the modification date moves by more than a second, the other old signals are dropped, unless ``compat``
-    keeps them although they are stale. Missing signal columns count as null.
+    keeps them although they are stale. Missing signal columns count as null. Where ``new`` has a column ``since``
+    (rows that a stream folded), the old date is compared with that one; an infinite one leaves nothing old.
     """
+    if "since" not in new.columns:
+        new = new.withColumn("since", F.col("modification_date"))
     for s in SIGNALS:
         if s not in new.columns:
             new = new.withColumn(s, F.lit(None).cast(cache.schema[s].dataType))
-    n = new.select("asset_id", *[F.col(c).alias(f"n_{c}") for c in ("library_id", "modification_date", *SIGNALS)])
+    n = new.select("asset_id", *[F.col(c).alias(f"n_{c}") for c in ("library_id", "modification_date", "since", *SIGNALS)])
     both = cache.join(n, "asset_id", "full_outer")
-    stale = F.coalesce(F.abs(F.col("modification_date") - F.col("n_modification_date")) > K.FRESH_S, F.lit(False)) & F.lit(not compat)
+    stale = F.coalesce(F.abs(F.col("modification_date") - F.col("n_since")) > K.FRESH_S, F.col("n_since") == float("inf"), F.lit(False)) & F.lit(not compat)
     signal = lambda s: F.coalesce(F.col(f"n_{s}"), F.when(~stale, F.col(s)))
     return both.select("asset_id", F.coalesce("n_library_id", "library_id").alias("library_id"), F.coalesce("n_modification_date", "modification_date").alias("modification_date"), *[signal(s).alias(s) for s in SIGNALS])
 

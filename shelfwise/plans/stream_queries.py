@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators import groups, incremental, scans
+from shelfwise.operators import cache, groups, incremental, scans
 from shelfwise.plans.asset_queries import _ROLLS
 from shelfwise.plans.pair_queries import _NEAR, _SIMILAR, _items
 from shelfwise.plans.registry import query
@@ -44,13 +44,13 @@ def _before(rows: DataFrame, t: Tables) -> DataFrame:
 @query("select library_id, sum(bytes)::bigint as bytes, sum(n)::bigint as n from deletions group by 1")
 def stream_bytes_freed(t: Tables) -> DataFrame:
     stream, path = _stream(t, t.deletions, "ts")
-    return jobs.drain(jobs.bytes_freed(stream), path, "complete")
+    return jobs.drain(jobs.bytes_freed(stream), path, ["library_id"])
 
 
 @query("select library_id, reason, count(*) as n from deletions group by 1, 2")
 def stream_affinity(t: Tables) -> DataFrame:
     stream, path = _stream(t, t.deletions, "ts")
-    return jobs.drain(jobs.affinity(stream), path, "complete")
+    return jobs.drain(jobs.affinity(stream), path, ["library_id", "reason"])
 
 
 @query("select library_id, time_bucket(interval '15 minutes', creation_date) as start_at, count(*) as n from assets group by 1, 2")
@@ -76,26 +76,22 @@ def stream_event_rolls(t: Tables) -> DataFrame:
 def stream_exact_duplicates(t: Tables) -> DataFrame:
     rows = scans.images(t.assets, True).select("library_id", "asset_id", "creation_date").join(t.dhashes.select("asset_id", "dhash"), "asset_id")
     stream, path = _stream(t, rows.select("library_id", "asset_id", "dhash"), "asset_id")
-    known = jobs.VersionedTable(t.spark, f"{path}/known", rows.select("library_id", "dhash", F.array("asset_id").alias("members")), ["library_id", "dhash"])
-    jobs.exact_duplicates(stream, known, f"{path}/marks").awaitTermination()
-    return known.read().where("size(members) >= 2")
+    blocks = jobs.drain(jobs.exact_duplicates(stream), path, ["library_id", "dhash", "block"])
+    return blocks.groupBy("library_id", "dhash").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members")).where("size(members) >= 2")
 
 
 @query(f"with {_NEW} {_UPSERT}")
 def stream_cache_upsert(t: Tables) -> DataFrame:
     stream, path = _stream(t, _new_signals(t), "asset_id")
-    table = jobs.VersionedTable(t.spark, f"{path}/cache", t.asset_analysis, ["asset_id"])
-    table.write(-1, t.asset_analysis)
-    jobs.cache_upsert(stream, table, f"{path}/marks").awaitTermination()
-    return _rounded(table.read())
+    jobs.cache_upsert(stream, path).awaitTermination()
+    arrived = jobs.current(t.spark, path, jobs.SIGNALS, ["asset_id"])
+    return _rounded(cache.upsert(t.asset_analysis, arrived))
 
 
 @query("select library_id, count(*) as n from assets group by 1")
 def stream_new_assets(t: Tables) -> DataFrame:
     stream, path = _stream(t, t.assets.select("library_id", "asset_id"), "asset_id")
-    counts = jobs.VersionedTable(t.spark, f"{path}/counts", t.spark.createDataFrame([], "library_id string, n long"), ["library_id"])
-    jobs.new_assets(stream, counts, f"{path}/marks").awaitTermination()
-    return counts.read()
+    return jobs.drain(jobs.new_assets(stream), path, ["library_id"])
 
 
 @query(_NEAR)

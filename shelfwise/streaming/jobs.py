@@ -8,16 +8,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from shelfwise.functions import constants as K
 from shelfwise.operators import cache, incremental
 from shelfwise.operators.sessions import parted, split_rolls
 
 ROLLS = "library_id string, members array<long>, start_at timestamp_ntz, end_at timestamp_ntz, n long, lat double, lon double"
+KEPT = T.StructType().add("library_id", "string").add("modification_date", "double").add("since", "double")
+KEPT = KEPT.add("dhash", "long").add("is_blurry", "boolean").add("quality_score", "double").add("semantic_category", "string")
+SIGNALS = T.StructType([T.StructField("asset_id", T.LongType()), *KEPT])
+Signal = Row(*SIGNALS.names)
+
 
 
 def source(spark: SparkSession, path: str, like: DataFrame, files: int = 2) -> DataFrame:
@@ -94,77 +101,98 @@ def event_rolls(assets: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("library_id").applyInPandasWithState(step, ROLLS, "ids array<long>, at array<double>, lat array<double>, lon array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def foreach(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def foreach(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class VersionedTable:
-    """A table in buckets by key, of which a batch rewrites those that it touches, into a folder of its own.
+def changes(rows: DataFrame, path: str) -> StreamingQuery:
+    """Writes the rows that each batch changes into a folder named by its number; doing a batch again writes it again.
 
-    Replaying a batch reads what was there before it and writes the same folder again; which folders are there is
-    read from the file system, so a restarted job goes on where the last one stopped.
+    State lies in RocksDB, so what a batch writes, there and here, follows the batch and not what is known.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # a query takes a copy of the settings as it starts
+        return foreach(rows, lambda batch, no: batch.write.mode("overwrite").parquet(f"{path}/changes/batch={no}"), f"{path}/marks", "update")
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers in the names of folders like ``batch=3``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in found)
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The last row of each key that :func:`changes` wrote (up to batch ``upto``), from the newest fold on."""
+    folds = [n for n in _numbers(spark, f"{path}/folds/upto=*") if upto is None or n <= upto]
+    first = folds[-1] if folds else -1
+    parts = [f"{path}/changes/batch={n}" for n in _numbers(spark, f"{path}/changes/batch=*") if n > first and (upto is None or n <= upto)]
+    read = lambda paths: spark.read.schema(schema).parquet(*paths)
+    rows = spark.createDataFrame([], schema).withColumn("batch_", F.lit(0))
+    if folds:
+        rows = rows.union(read([f"{path}/folds/upto={first}"]).withColumn("batch_", F.lit(first)))
+    if parts:
+        rows = rows.union(read(parts).withColumn("batch_", F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1).cast("int")))
+    last = F.max_by(F.struct(*schema.names), "batch_").alias("x")
+    return rows.groupBy(*keys).agg(last).select("x.*")
+
+
+def fold(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> None:
+    """Writes the current rows once, so that readers pass over the folders before; the newest batch, which may be done again, stays out."""
+    numbers = _numbers(spark, f"{path}/changes/batch=*")[:-1]
+    if numbers:
+        current(spark, path, schema, keys, numbers[-1]).write.mode("overwrite").parquet(f"{path}/folds/upto={numbers[-1]}")
+
+
+class Signals(StatefulProcessor):
+    """Folds the signals of an asset that arrive one after another as ``cache.upsert`` does.
+
+    ``since`` is the date that rows from before the stream are compared with: the first one that came, or infinite
+    once a later one was stale against the one before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, like: DataFrame, keys: list[str], buckets: int = 16):
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, like.schema, keys, buckets
-
-    def _bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def _folders(self, before: int | None) -> dict[int, str]:
-        """The newest folder of each bucket, of batches ``before`` one."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/bucket=*")
-        newest: dict[int, tuple[int, str]] = {}
-        for status in at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []:
-            folder = status.getPath().toString()
-            batch, bucket = int(folder.split("/")[-2][1:]), int(folder.rsplit("=", 1)[1])
-            if (before is None or batch < before) and batch >= newest.get(bucket, (-2, ""))[0]:
-                newest[bucket] = (batch, folder)
-        return {b: folder for b, (_, folder) in newest.items()}
-
-    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
-        folders = [f for b, f in self._folders(before).items() if only is None or b in only]
-        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
-
-    def write(self, batch: int, df: DataFrame) -> None:
-        self._bucket(df.select(self.schema.names)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{batch}")
-
-    def merge(self, batch: int, changes: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Rewrite the buckets of ``changes`` as ``merged(old rows, changes)``; keys never leave the table."""
-        touched = [r.bucket for r in self._bucket(changes).select("bucket").distinct().collect()]
-        if touched:
-            self.write(batch, merged(self.read(batch, touched), changes))
-
-
-def exact_duplicates(stream: DataFrame, known: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Hashes of arriving pictures join the known ones: state is one row a hash with its members."""
-
-    def both(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.unionByName(new).groupBy("library_id", "dhash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
-
-    def merge(batch: DataFrame, no: int) -> None:
-        known.merge(no, batch.where("dhash is not null").groupBy("library_id", "dhash").agg(F.collect_set("asset_id").alias("members")), both)
-
-    return foreach(stream, merge, checkpoint)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._kept = handle.getValueState("kept", KEPT)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        newest = lambda r: [(x is not None, x) for x in (r[1], r[0], *r[3:])]
+        library, date, since, *signals = max((tuple(r)[1:] for r in rows), key=newest)
+        old = self._kept.get()
+        if old is not None:
+            place, seen, first, *known = tuple(old)
+            if date is not None and seen is not None and abs(date - seen) > K.FRESH_S:
+                first, known = float("inf"), [None] * len(known)
+            library, date, since = (b if a is None else a for a, b in ((library, place), (date, seen), (first, since)))
+            signals = [b if a is None else a for a, b in zip(signals, known, strict=True)]
+        new = (library, date, since, *signals)
+        self._kept.update(new)
+        yield Signal(*key, *new)
 
-def cache_upsert(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Signals of a batch go into the cache; of several rows of an asset the newest counts."""
+    def close(self) -> None:
+        pass
 
-    def merge(batch: DataFrame, no: int) -> None:
-        newest = batch.groupBy("asset_id").agg(F.max_by(F.struct(*batch.columns), "modification_date").alias("x")).select("x.*")
-        table.merge(no, newest, cache.upsert)
 
-    return foreach(stream, merge, checkpoint)
+def exact_duplicates(stream: DataFrame) -> DataFrame:
+    """Pictures of a hash, in blocks of 64 ids: a row of state stays small however many pictures share a hash."""
+    rows = stream.where("dhash is not null and asset_id is not null")
+    return rows.groupBy("library_id", "dhash", F.shiftright("asset_id", 6).alias("block")).agg(F.array_sort(F.collect_set("asset_id")).alias("members"))
 
 
-def new_assets(stream: DataFrame, counts: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Counts of arrivals a library, refreshed by each batch."""
+def cache_upsert(stream: DataFrame, path: str) -> StreamingQuery:
+    """Signals that arrive, folded by asset; of several rows of an asset in a batch the newest counts."""
+    given = lambda s: F.col(s) if s in stream.columns else F.lit(None)
+    date = F.col("modification_date").cast("double")
+    rows = stream.select("asset_id", "library_id", date.alias("modification_date"), date.alias("since"), *[given(s).cast(KEPT[s].dataType).alias(s) for s in cache.SIGNALS])
+    return changes(rows.groupBy("asset_id").transformWithState(Signals(), SIGNALS, "update", "none"), path)
 
-    def refresh(batch: DataFrame, no: int) -> None:
-        counts.merge(no, batch.groupBy("library_id").agg(F.count("*").alias("n")), lambda old, new: old.unionByName(new).groupBy("library_id").agg(F.sum("n").alias("n")))
 
-    return foreach(stream, refresh, checkpoint)
+def new_assets(stream: DataFrame) -> DataFrame:
+    """Counts of arrivals a library."""
+    return stream.groupBy("library_id").agg(F.count("*").alias("n"))
 
 
 def near_groups(prints: DataFrame, path: str) -> StreamingQuery:
@@ -177,16 +205,12 @@ def similar_groups(prints: DataFrame, path: str) -> StreamingQuery:
     return foreach(prints, lambda batch, no: incremental.similar_step(batch, path, no), f"{path}/marks")
 
 
-def drain(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream to the end of its source and return what it wrote under ``path``."""
+def drain(df: DataFrame, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream to the end of its source and return what it wrote under ``path``: rows once, or by ``keys`` their last state."""
     spark = df.sparkSession
-    out, marks = f"{path}/out", f"{path}/marks"
-    if mode == "append":
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(out)
-
-    def keep(batch: DataFrame, no: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    df.writeStream.foreachBatch(keep).option("checkpointLocation", marks).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    if keys:
+        changes(df, path).awaitTermination()
+        return current(spark, path, df.schema, keys)
+    out = f"{path}/out"
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}/marks").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
