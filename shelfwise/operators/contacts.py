@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.text import expand_nicknames, name_distance, normalize_phone, org_tokens, reverse_tokens
 from shelfwise.functions.vectors import cosine01
 from shelfwise.operators.components import connected_components
-from shelfwise.operators.pairs import pivot_pairs
+from shelfwise.operators.pairs import equal_pairs, pivot_pairs
 from shelfwise.operators.scans import filled_fields, folded_name, full_name
 
 
@@ -21,10 +21,9 @@ def contact_keys(contacts: DataFrame) -> DataFrame:
 
 
 def phone_pairs(keys: DataFrame) -> DataFrame:
-    """(library_id, a, b) of contacts that share a number, a < b."""
+    """(library_id, a, b) of contacts that share a number, a < b; a number that very many share is many tasks."""
     rows = keys.select("library_id", "contact_id", F.explode("phones").alias("phone"))
-    a, b = rows.withColumnRenamed("contact_id", "a"), rows.withColumnRenamed("contact_id", "b")
-    return a.join(b, ["library_id", "phone"]).where("a < b").select("library_id", "a", "b").distinct()
+    return equal_pairs(rows, ["library_id", "phone"], "contact_id").select("library_id", "a", "b").distinct()
 
 
 def _parts(edits: int) -> str:

@@ -142,6 +142,26 @@ def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) ->
     return cell_pairs(homes, limit, ["library_id", *extra])
 
 
+def equal_pairs(rows: DataFrame, keys: list[str], item: str, block: int = 4_096) -> DataFrame:
+    """(*keys, a, b) of items with equal keys, a < b: a join of ``rows`` with themselves that hot keys don't hold up.
+
+    Keys are counted. Items of a key with more than ``block`` rows are dealt into blocks by hash and each pair of blocks
+    is a key of its own, so no task has more than two blocks of a key; each such item is copied once a block. Null
+    items are in no pair, and rows that repeat give pairs that repeat.
+    """
+    rows = rows.where(F.col(item).isNotNull()).select(*keys, item)
+    hot = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("k_")).where("k_ > 1")
+    many = hot.limit(100_001).count()
+    x, y = (rows.withColumnRenamed(item, c) for c in ("x_", "y_"))
+    if not many:
+        return x.join(y, keys).where("x_ < y_").select(*keys, F.col("x_").alias("a"), F.col("y_").alias("b"))
+    rows = rows.join(F.broadcast(hot) if many <= 100_000 else hot, keys, "left").withColumn("k_", F.coalesce("k_", F.lit(1))).withColumn("own_", F.pmod(F.xxhash64(item), "k_").cast("int"))
+    x = rows.select(*keys, F.col(item).alias("x_"), F.col("own_").alias("i_"), F.explode(F.sequence("own_", F.col("k_") - 1)).alias("j_"))
+    y = rows.select(*keys, F.col(item).alias("y_"), F.explode(F.sequence(F.lit(0), "own_")).alias("i_"), F.col("own_").alias("j_"))
+    both = x.join(y, [*keys, "i_", "j_"]).where("i_ < j_ or x_ < y_")
+    return both.select(*keys, F.least("x_", "y_").alias("a"), F.greatest("x_", "y_").alias("b"))
+
+
 def hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
     """(library_id, a, b) of items whose 64-bit hashes differ in at most ``bits`` bits; exact.
 
@@ -152,19 +172,25 @@ def hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
     heads = hashes.where("dhash is not null").groupBy("library_id", "dhash").agg(F.min("asset_id").alias("head"))
     same = hashes.join(heads, ["library_id", "dhash"]).where("asset_id <> head").select("library_id", F.col("head").alias("a"), F.col("asset_id").alias("b"))
     band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("dhash", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bits + 1)])
-    rows = heads.select("library_id", "dhash", "head", F.inline(band))
-    a, b = rows.toDF("library_id", "ha", "a", "i", "v"), rows.toDF("library_id", "hb", "b", "i", "v")
-    near = a.join(b, ["library_id", "i", "v"]).where(F.col("a") < F.col("b")).where(hamming64(F.col("ha"), F.col("hb")) <= bits).select("library_id", "a", "b")
+    near = equal_pairs(heads.select("library_id", F.inline(band), F.struct("head", "dhash").alias("item")), ["library_id", "i", "v"], "item")
+    near = near.where(hamming64(F.col("a.dhash"), F.col("b.dhash")) <= bits).select("library_id", F.col("a.head").alias("a"), F.col("b.head").alias("b"))
     return same.union(near.distinct())
 
 
 def all_hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
-    """Like :func:`hash_pairs`, every pair written out."""
+    """Like :func:`hash_pairs`, every pair written out.
+
+    Bands pair distinct hashes only, so a pair of items is made once: by their equal hash, or by a pair of hashes
+    (more often, and given once, where an item has several hashes).
+    """
     width = 64 // (bits + 1)
+    rows = hashes.where("dhash is not null and asset_id is not null").select("library_id", "dhash", "asset_id").distinct()
     band = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("dhash", i * width).bitwiseAND((1 << width) - 1).alias("v")) for i in range(bits + 1)])
-    rows = hashes.where("dhash is not null").select("library_id", "dhash", "asset_id", F.inline(band))
-    a, b = rows.toDF("library_id", "ha", "a", "i", "v"), rows.toDF("library_id", "hb", "b", "i", "v")
-    return a.join(b, ["library_id", "i", "v"]).where("a < b").where(hamming64(F.col("ha"), F.col("hb")) <= bits).select("library_id", "a", "b").distinct()
+    near = equal_pairs(rows.select("library_id", "dhash").distinct().select("library_id", F.inline(band), "dhash"), ["library_id", "i", "v"], "dhash")
+    near = near.where(hamming64(F.col("a"), F.col("b")) <= bits).select("library_id", F.col("a").alias("ha"), F.col("b").alias("hb")).distinct()
+    x, y = rows.toDF("library_id", "ha", "x"), rows.toDF("library_id", "hb", "y")
+    across = near.join(x, ["library_id", "ha"]).join(y, ["library_id", "hb"]).where("x <> y").select("library_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal_pairs(rows, ["library_id", "dhash"], "asset_id").select("library_id", "a", "b").union(across).distinct()
 
 
 def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
