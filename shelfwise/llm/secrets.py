@@ -58,6 +58,8 @@ THRESHOLD = 1.0
 MIN_LENGTH = 8
 #: Characters of a value that are looked at for a placeholder.
 HEAD = 256
+#: Characters of a word between those whose sums up to the word's end are kept.
+STEP = 1024
 
 
 def name_weight(name: str) -> float:
@@ -108,12 +110,34 @@ class Value:
         return min(1.0, self.entropy() / 4.5) * (0.5 + classes / 6)
 
 
+class Word:
+    """A word with other names inside, all of whose values end with it. Values are added up from its end in steps, so that
+    each one is of all its characters, in time for at most a step of them."""
+
+    __slots__ = ("text", "end", "sums")
+
+    def __init__(self, text: str, end: int):
+        self.text, self.end = text, end
+        self.sums = [Value()]  # of the last 0, STEP, 2 * STEP, ... characters
+
+    def value(self, start: int) -> Value:
+        k = (self.end - start) // STEP
+        while len(self.sums) <= k:
+            at = self.end - len(self.sums) * STEP
+            longer = Value(self.text[at : at + STEP])
+            longer.add(self.sums[-1])
+            self.sums.append(longer)
+        out = Value(self.text[start : self.end - k * STEP])
+        out.add(self.sums[k])
+        return out
+
+
 class Assignment:
     """A name and what it is assigned: spans of literals, assignments that it refers to, and names defined further on."""
 
     __slots__ = ("name", "parts", "value")
 
-    def __init__(self, name: str, *parts: tuple[int, int] | Assignment | Later):
+    def __init__(self, name: str, *parts: tuple[int, int] | tuple[int, int, Word] | Assignment | Later):
         self.name, self.parts = name, list(parts)
         self.value: Value | None = None
 
@@ -176,7 +200,7 @@ def assignments(text: str) -> list[Assignment]:
     earliest: dict[str, Assignment] = {}
     declared: dict[int, str] = {}  # where the value of a declared name begins
     out: list[Assignment] = []
-    bare_end = -1
+    bare_end, word_of = -1, Word(text, 0)
     for mark in _MARK.finditer(text):
         name, start = _name_before(text, mark.start())
         if name in _TYPE_WORDS and start and text[start - 1] in " \t*":  # name, type, value
@@ -204,6 +228,7 @@ def assignments(text: str) -> list[Assignment]:
                     end = bare_end
                 elif m := _BARE.match(text, at):
                     end = bare_end = m.end()
+                    word_of = Word(text, end)
                 else:
                     break
                 word = _IDENTIFIER.match(text, at)
@@ -213,7 +238,7 @@ def assignments(text: str) -> list[Assignment]:
                 elif whole:
                     found.parts.append(Later(word[0], None if found.parts else (at, end)))
                 else:
-                    found.parts.append((at, end, True) if nested else (at, end))
+                    found.parts.append((at, end, word_of) if nested else (at, end))
                 at = end
             plus = _BLANKS.match(text, at).end()
             if text[plus : plus + 1] != "+":
@@ -245,10 +270,9 @@ def _resolved(part: tuple[int, int] | Assignment | Later, earliest: dict[str, As
     return [found] if found is not None else [part.span] if part.span else []
 
 
-def _value_at(text: str, a: int, b: int, nested: bool = False) -> Value:
-    """The value of a span. A word inside the word that is another name's value is looked at at both ends only, as very
-    many may end at one place."""
-    return Value(text[a : a + HEAD] + text[b - HEAD : b]) if nested and b - a > 2 * HEAD else Value(text[a:b])
+def _value_at(text: str, a: int, b: int, word: Word | None = None) -> Value:
+    """The value of a span, by the word that it ends with if other names' values end there too."""
+    return word.value(a) if word else Value(text[a:b])
 
 
 def valued(text: str, found: Assignment) -> Value:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from shelfwise.llm.secrets import find_secrets, pairs, redact_secrets, spans_of
+from shelfwise.llm.secrets import Value, assignments, find_secrets, pairs, redact_secrets, spans_of, valued
 from tests.llm.helpers import SCHEMA, frame
 
 
@@ -102,6 +102,20 @@ def test_whole_literals_are_scored():
     assert found(f'auth_private_key = "{"x" * 5000}"') == []
 
 
+def test_words_inside_words_are_scored_whole():
+    middle = "".join(random.Random(3).choices("abcdefghABCDEFGH0123456789", k=600))
+    for n in (256, 300, 3000):
+        value = "x" * n + "/" + middle + "x" * n
+        assert found(f"colour=private_key={value}") == [value]
+    # every end's value is that of its characters
+    text = "".join(random.Random(4).choices(["key=", "b:", "Zx81k", "é", "xx", "-"], k=4_000))
+    nested = [(x, p) for x in assignments(text) for p in x.parts if len(p) == 3]
+    assert len(nested) > 1_000
+    for x, p in nested[::50]:
+        got, want = valued(text, x), Value(text[p[0] : p[1]])
+        assert (got.head, got.size, got.blanks, got.counts) == (want.head, want.size, want.blanks, want.counts)
+
+
 def test_other_syntax():
     value = "Xk29sLq8Zp4vWm71"
     for text in (
