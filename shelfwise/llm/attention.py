@@ -281,7 +281,7 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, target
     a /= total
     logits = z @ w["c"] + w["d"] + voc.after[voc.context(ids[:, CONTEXT:], earlier(voc, ids, there))]
     logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
+    p = np.exp(logits, out=logits)
     p /= p.sum(2, keepdims=True)
     cls = voc.cls[targets]
     n = max(1, int(scored.sum()))
@@ -311,7 +311,7 @@ def gradients(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, target
 
 
 def fit(w: dict[str, np.ndarray], voc: Vocabulary, windows: np.ndarray, rate: float, epochs: int = 1, batch: int = BATCH, seed: int = 1) -> tuple[dict[str, np.ndarray], float]:
-    """Adam over ``windows`` [n, WINDOW + 1] (padding is -1 at the front); returns weights and the last mean loss."""
+    """Adam over ``windows`` [n, WINDOW + 1] (padding is -1, at both ends); returns weights and the last mean loss."""
     w = {n: x.copy() for n, x in w.items()}
     m, s = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
     rng, step, losses = np.random.default_rng(seed), 0, [0.0]
@@ -322,7 +322,7 @@ def fit(w: dict[str, np.ndarray], voc: Vocabulary, windows: np.ndarray, rate: fl
                 continue
             part = windows[at]
             there = part[:, :-1] >= 0
-            loss, g = gradients(w, voc, np.maximum(part[:, :-1], 0), np.maximum(part[:, CONTEXT + 1 :], 0), there, there[:, CONTEXT:])
+            loss, g = gradients(w, voc, np.maximum(part[:, :-1], 0), np.maximum(part[:, CONTEXT + 1 :], 0), there, there[:, CONTEXT:] & (part[:, CONTEXT + 1 :] >= 0))
             losses.append(loss)
             step += 1
             for n in w:

@@ -1,7 +1,7 @@
 """Language-model scores of whole texts, beside a plain unigram score over words.
 
 The model (see ``attention``) reads subword ids. Everything it is made of is gathered from all training
-documents: id counts, class transitions, and training windows in proportion to the text. Word counts of the
+documents: id counts, class transitions, and training windows in which every id is a target once. Word counts of the
 unigram score are exact over the corpus; no table of all words is ever in one place.
 
 Texts are read once, in units of some megabytes: a unit holds its documents as compressed ids and a list of its
@@ -27,11 +27,13 @@ from shelfwise.llm.token_files import ENCODE_BYTES
 from shelfwise.session import deals, drop, settle
 
 ADD = 0.1
-#: One training window for so many ids of training text, at least one a document.
-IDS_PER_WINDOW = 768
-#: Windows of the first fit, whose result all trainers start from, and windows of each trainer.
-SEED_WINDOWS = 8_192
-TRAINER_WINDOWS = 8_192
+#: Training windows of a piece of a document, and of each trainer.
+PIECE_WINDOWS = 128
+TRAINER_WINDOWS = 65_536
+#: Pieces are dealt in so many parts by hash. A round takes those up to a bound, its rate and its windows a step; trainers
+#: start a round from the average of the one before.
+DEALS = 8
+ROUNDS = ((1, 0.004, 64), (4, 0.002, 256), (8, 0.002, 256))
 #: Trainers whose weights are added up in one task.
 BRANCH = 64
 #: Text of a unit of documents.
@@ -128,18 +130,29 @@ def _opened(batch: pa.RecordBatch | pa.Table, wide: bool, limit: int = 1 << 20)
         lo = hi
 
 
-def _sampled(ids: np.ndarray, count: np.ndarray, doc_id: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows [n, WINDOW + 1], one for each IDS_PER_WINDOW ids at places given by hash (-1 is padding), and
-    the hash of document and window by which they are dealt, so that equal texts do not meet."""
-    k = -(-count // IDS_PER_WINDOW)
+def _cut(ids: np.ndarray, count: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first ids, ends, ids of context, hash of document and piece) of the pieces of documents, which hold PIECE_WINDOWS
+    windows each. Every id is a target in one piece; the ids just before a piece go with it as context."""
+    each = PIECE_WINDOWS * net.SCORED
+    k = -(-count // each)
     row = np.repeat(np.arange(len(count)), k)
     j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    base = (np.cumsum(count) - count)[row]
+    lead = np.where(j > 0, net.CONTEXT + 1, 0)
     h = ts.mix(doc_id[row].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + j.astype(np.uint64))
-    span = np.maximum(np.minimum(count[row] - j * IDS_PER_WINDOW, IDS_PER_WINDOW), 1)
-    last = j * IDS_PER_WINDOW + (h % span.astype(np.uint64)).astype(np.int64)  # place of the last target
-    place = last[:, None] - net.WINDOW + np.arange(net.WINDOW + 1)[None, :]
+    return base + j * each - lead, base + np.minimum((j + 1) * each, count[row]), lead, ts.mix(h)
+
+
+def _windows(ids: np.ndarray, count: np.ndarray, lead: np.ndarray, begin: int) -> np.ndarray:
+    """Training windows [n, WINDOW + 1] of pieces, whose first ``lead`` ids are context: each other id is the target of
+    one place. -1 is padding: before a text's ``begin``, and beyond a piece's end."""
+    n = -(-(count - lead) // net.SCORED)
+    row = np.repeat(np.arange(len(count)), n)
+    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    place = (lead[row] + k * net.SCORED - net.CONTEXT - 1)[:, None] + np.arange(net.WINDOW + 1)[None, :]
     at = (np.cumsum(count) - count)[row][:, None] + place
-    return np.where(place >= 0, ids[np.clip(at, 0, len(ids) - 1)], np.where(place == -1, begin, -1)).astype(np.int32), ts.mix(h)
+    there = (place >= 0) & (place < count[row][:, None])
+    return np.where(there, ids[np.clip(at, 0, max(len(ids) - 1, 0))], np.where(place == -1, begin, -1)).astype(np.int32)
 
 
 def _summed(train: DataFrame, wide: bool, size: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, int]:
@@ -224,47 +237,50 @@ def _weights_of(data: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 def _trained(train: DataFrame, voc: Broadcast, wide: bool) -> dict[str, np.ndarray]:
-    """Weights: a first fit on a few windows, then one pass over all of them by trainers whose results are averaged,
-    BRANCH at a time."""
+    """Weights: one pass over all training ids in rounds. Pieces of documents are dealt by hash to rounds and trainers,
+    so that equal texts do not meet; the weights of a round's trainers are averaged, BRANCH at a time."""
+    count = train.agg(F.sum(F.ceil(F.col("n") / net.SCORED))).first()[0] or 0
+    if not count:
+        return net.fresh()
+    kind = "<u4" if wide else "<u2"
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, ids, count in _opened(batch, wide):
-                w, order = _sampled(ids, count, doc[lo:hi], voc.value.begin)
-                yield pa.RecordBatch.from_pydict({"h": pa.array((order >> _U(1)).astype(np.int64), pa.int64()), "ids": ts.lists(w.ravel(), np.full(len(w), w.shape[1]), pa.int32())})
-
-    windows = settle(train.mapInArrow(sample, "h long, ids array<int>"), "windows")
-    count = windows.count()
-    if not count:
-        drop(windows)
-        return net.fresh()
+                first, end, lead, h = _cut(ids, count, doc[lo:hi])
+                flat = ids.astype(kind)
+                data = [pack(flat[a:b].tobytes()) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"h": pa.array((h >> _U(1)).astype(np.int64), pa.int64()), "deal": pa.array((h >> _U(61)).astype(np.int32) % DEALS, pa.int32()), "n": pa.array(end - first, pa.int32()), "lead": pa.array(lead, pa.int32()), "frame": pa.array(data, pa.binary())})
 
-    def fitted(start: dict[str, np.ndarray] | None, rate: float, epochs: int) -> Callable[[pa.Table], pa.Table]:
+    def fitted(start: dict[str, np.ndarray], rate: float, batch: int) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by("h")
-            grid = ts.gathered(table, "ids", np.int64).reshape(-1, net.WINDOW + 1)
-            w, _ = net.fit(start or net.fresh(), voc.value, grid, rate, epochs)
+            table = table.sort_by([("h", "ascending"), ("frame", "ascending")])
+            lead = table.column("lead").to_numpy().astype(np.int64)
+            grid = np.concatenate([_windows(ids, count, lead[lo:hi], voc.value.begin) for lo, hi, ids, count in _opened(table, wide)])
+            w, _ = net.fit(start, voc.value, grid, rate, 1, batch)
             return pa.table({"trainer": table.column("trainer").slice(0, 1), "n": pa.array([len(grid)], pa.int64()), "w": pa.array([_bytes_of(w)], pa.binary())})
 
         return run
 
-    schema = "trainer long, n long, w binary"
-    seed = windows.orderBy("h").limit(SEED_WINDOWS).withColumn("trainer", F.lit(0).cast("long")).groupBy("trainer").applyInArrow(fitted(None, 0.004, 2), schema)
-    start = _weights_of(bytes(seed.first().w), net.fresh())
-
     def add(table: pa.Table) -> pa.Table:
         n = np.array(table.column("n").to_pylist())
         total = sum(k * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for k, w in zip(n.tolist(), table.column("w"), strict=True))
         return pa.table({"trainer": table.column("trainer").slice(0, 1), "n": pa.array([int(n.sum())], pa.int64()), "w": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
 
-    trainers = -(-count // TRAINER_WINDOWS)
-    sums = windows.withColumn("trainer", F.pmod("h", F.lit(trainers))).groupBy("trainer").applyInArrow(fitted(start, 0.002, 1), schema)
-    while trainers > 1:
-        trainers = -(-trainers // BRANCH)
-        sums = sums.withColumn("trainer", F.pmod("trainer", F.lit(trainers))).groupBy("trainer").applyInArrow(add, schema)
-    out = _weights_of(bytes(sums.first().w), start)
-    drop(windows)
+    schema = "trainer long, n long, w binary"
+    most = -(-count // TRAINER_WINDOWS)
+    dealt = train.mapInArrow(pieces, "h long, deal int, n int, lead int, frame binary").withColumn("trainer", F.pmod("h", F.lit(most)))
+    out, begun = net.fresh(), 0
+    for bound, rate, batch in ROUNDS:
+        sums = dealt.where((F.col("deal") >= begun) & (F.col("deal") < bound)).repartition(most, "trainer").groupBy("trainer").applyInArrow(fitted(out, rate, batch), schema)
+        trainers, begun = most, bound
+        while trainers > 1:
+            trainers = -(-trainers // BRANCH)
+            sums = sums.withColumn("trainer", F.pmod("trainer", F.lit(trainers))).groupBy("trainer").applyInArrow(add, schema)
+        if found := sums.first():  # a small corpus may have no piece in a round
+            out = _weights_of(bytes(found.w), out)
     return out
 
 

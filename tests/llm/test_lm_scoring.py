@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 
 from shelfwise.llm import attention as net
-from shelfwise.llm.lm_scoring import decoded, lm_scores, score_ids
+from shelfwise.llm.lm_scoring import PIECE_WINDOWS, _cut, _windows, decoded, lm_scores, score_ids
 from shelfwise.llm.subwords import subwords
 from tests.llm.helpers import SCHEMA, corpus, frame
 
@@ -110,6 +110,28 @@ def test_gradients():
         assert np.isclose((up - down) / 2e-5, g[name][i], rtol=2e-2, atol=1e-6), name
 
 
+def test_every_id_is_a_training_target_once():
+    rng = np.random.default_rng(4)
+    each = PIECE_WINDOWS * net.SCORED
+    count = np.array([1, 24, 25, 700, each, each + 1, 3 * each + 50])
+    ids = rng.permutation(int(count.sum()))
+    first, end, lead, h = _cut(ids, count, np.arange(len(count)))
+    assert len(set(h.tolist())) == len(h) == 11
+    flat = np.concatenate([ids[a:b] for a, b in zip(first, end, strict=True)])
+    grid = _windows(flat, end - first, lead, 10**6)
+    there, targets = grid[:, net.CONTEXT : -1] >= 0, grid[:, net.CONTEXT + 1 :]
+    assert sorted(targets[there & (targets >= 0)].tolist()) == sorted(ids.tolist())
+    before = dict(zip(ids[1:].tolist(), ids[:-1].tolist(), strict=True)) | {int(ids[a]): 10**6 for a in np.cumsum(count) - count}
+    for row in grid.tolist():  # ids of a window follow one another in the text
+        row = row[next(i for i, x in enumerate(row) if x >= 0) :]
+        row = row[: next((i for i, x in enumerate(row) if x < 0), len(row))]
+        assert all(before[b] == a for a, b in zip(row, row[1:], strict=False))
+    # as the windows that are scored
+    inputs, scored_ids, _, scored, _ = net.document_windows(ids, count, 10**6)
+    pairs = lambda a, b, m: sorted(zip(a[m].tolist(), b[m].tolist(), strict=True))
+    assert pairs(inputs[:, net.CONTEXT :], scored_ids, scored) == pairs(grid[:, net.CONTEXT : -1], targets, there & (targets >= 0))
+
+
 def test_ids_give_back_the_text():
     import pyarrow as pa
 
