@@ -4,7 +4,7 @@ from fractions import Fraction
 
 import pytest
 
-from shelfwise.llm.mixing import one_period, schedule, shares, timetable
+from shelfwise.llm.mixing import one_period, runs, schedule, shares, tempered, timetable
 from tests.llm.helpers import SCHEMA, frame
 
 
@@ -146,3 +146,32 @@ def test_very_many_sources_share_pools(spark):
         assert all(r.release <= r.slot < r.deadline for r in got)
     mix = [r.source for r in schedule(frame(spark, rows), None, block=1, most=20).collect() if r.in_mix]
     assert len({s for s in mix if s not in ("big", "large")}) > 200
+
+
+def test_classes_have_the_bounds_of_their_members():
+    rng = random.Random(8)
+    for _ in range(60):
+        names = [f"s{i}" for i in range(rng.randint(1, 6))]
+        blocks, members = {s: rng.randint(1, 12) for s in names}, {s: rng.randint(1, 9) for s in names}
+        weights = {s: rng.choice([0, 0.1, 0.25, 1, 2, 3.5, 7]) for s in names}
+        each = [(s, m) for s in names for m in range(members[s])]
+        want = {(s, m, j): (r, d) for (s, m), j, r, d, _ in timetable({k: blocks[k[0]] for k in each}, {k: weights[k[0]] for k in each})}
+        got = [(s, member + i, j, r, d, slot + i) for s, j, r, d, slot, member, count in runs(blocks, weights, members) for i in range(count)]
+        assert {(s, m, j): (r, d) for s, m, j, r, d, _ in got} == want and len(got) == len(want)
+        assert [x[5] for x in got] == list(range(len(got))) and all(r <= slot < d for *_, r, d, slot in got)
+
+
+def test_very_many_sources_have_their_own_shares(spark):
+    rng = random.Random(6)
+    rows = [(i, "t", None, rng.choice(["big", "large"]) if i % 2 else f"s{rng.randrange(300)}", 1) for i in range(2_000)]
+    supply = Counter(r[3] for r in rows)
+    for weights in (None, {"big": 2.0, "large": 1.0, "s3": 0.5} | {f"s{i}": 0.25 for i in range(100, 200)}):
+        got = schedule(frame(spark, rows), weights, block=4, most=20).collect()
+        blocks, given = {s: -(-n // 4) for s, n in supply.items()}, tempered(supply) if weights is None else weights
+        bounds = {(s, j): (r, d) for s, j, r, d, _ in timetable(blocks, given)}
+        assert sorted((r.doc_id, r.source) for r in got) == [(r[0], r[3]) for r in rows]
+        assert len({r.position for r in got}) == len(rows) and {r.slot for r in got} == set(range(sum(blocks.values())))
+        assert all((r.release, r.deadline) == bounds[r.source, r.block] and r.release <= r.slot < r.deadline for r in got)
+        assert {r.slot: (r.source, r.block) for r in got}.keys() == {r.slot for r in got} and len({(r.slot, r.source, r.block) for r in got}) == sum(blocks.values())
+        one = schedule(frame(spark, rows), weights, block=4).collect()
+        assert sum(r.in_mix for r in one) > 0 and {(r.source, r.release, r.deadline, r.block) for r in one} == {(r.source, r.release, r.deadline, r.block) for r in got}
