@@ -5,7 +5,8 @@
 3. benchmark decontamination: contaminated documents go;
 4. mixing sources to target weights: all documents stay and are written in the order of the mix; a source that
    runs out leaves the mix to the others;
-5. token-ID output: the documents are written as token files, which are ordered by doc_id, and their index is read back.
+5. token-ID output: the documents are written as token files in the order of that table, which is the mix, and their
+   index is read back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,21 +70,33 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.repartitionById(n, F.expr(f"cast(__at * {n} div {total} as int)")).sortWithinPartitions("__at").select(docs.columns)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a document of the token files; null and empty texts hold the end id alone, repeated rows repeat, rows
-    without an id come first.
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str, order: str = "doc_id") -> DataFrame:
+    """One row a document of the token files, which are in the order of the column ``order``; null and empty texts hold
+    the end id alone, repeated rows repeat, by doc_id rows without one come first.
     """
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), order)
     return token_index(spark, path)
 
 
+def token_output_in_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``token_output`` in the order in which the rows stand in the files of ``docs``, a table that the stage before wrote;
+    by doc_id if it is no table in files.
+    """
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    try:
+        docs = docs.withColumn("__place", F.struct(number("part-([0-9]+)"), number("-c([0-9]+)"), F.col("_metadata.row_index")))
+    except AnalysisException:
+        return token_output(spark, docs, sf_dir)
+    return token_output(spark, docs, sf_dir, "__place")
+
+
 STAGES = [
     ("language ID", language_id),
     ("n-gram Jaccard join", jaccard_join),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixing),
-    ("token-ID output", token_output),
+    ("token-ID output", token_output_in_order),
 ]
 
 #: Models, a schedule and a tokenizer are not SQL; tests compare the stages with plain versions.

@@ -1,7 +1,7 @@
 """Token-ID files: documents as arrays of ids, each compressed by itself under a shared dictionary.
 
 A file set is a folder with two Parquet tables. ``shards`` holds runs of consecutive documents in ascending
-doc_id order: their compressed id arrays back to back, with the offset of each, the position of its first id in
+doc_id order, or another that is asked for: their compressed id arrays back to back, with the offset of each, the position of its first id in
 the whole corpus, and the hash of the dictionary. ``dictionary`` holds the dictionary. A short document is read
 by its offset alone, without unpacking its neighbours.
 """
@@ -220,18 +220,21 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Encode every document and write the file set under ``path``.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, order: str = "doc_id") -> None:
+    """Encode every document and write the file set under ``path``, in the order of the column ``order``.
 
     Null and empty texts have the end id alone. Each row is one document: repeated doc_ids stand side by side,
     rows without doc_id come first. Other columns are ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = [] if order == "doc_id" else [F.col(order).alias("place")]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place)
     words = train_dictionary(source, tokenizer)
     named = hashlib.sha256(words).hexdigest()
     spark.createDataFrame([(named, bytearray(words))], "dictionary string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
+    kept = {k: t for k, t in source.dtypes if k != "text"}
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(words), write_checksum=False)
         for batch in batches:
@@ -239,7 +242,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
                 ids, count = encoder(tokenizer)(buf, offs)
                 at = np.append(0, np.cumsum(count)).tolist()
                 data = [pack.compress(_packed(ids[a:b])) for a, b in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[lo:hi], "n": pa.array(count, pa.int32()), "data": pa.array(data, pa.binary())})
+                yield pa.RecordBatch.from_pydict({k: batch.column(k)[lo:hi] for k in kept} | {"n": pa.array(count, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
@@ -270,8 +273,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
         if held:
             yield flush()
 
-    settled = settle(source.mapInArrow(frames, "doc_id long, n int, data binary"), "frames")
-    settled.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "data").mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
+    settled = settle(source.mapInArrow(frames, ", ".join(f"{k} {t}" for k, t in kept.items()) + ", n int, data binary"), "frames")
+    key = "place" if place else "doc_id"
+    settled.repartitionByRange(partitions(spark), key).sortWithinPartitions(*dict.fromkeys([key, "doc_id", "n", "data"])).mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
     drop(settled)
 
 

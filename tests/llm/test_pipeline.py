@@ -47,6 +47,12 @@ def test_run_applies_all_stages(spark):
     assert np.diff(sorted(r.start for r in out.collect())).min() > 0
 
 
+def test_token_files_are_in_the_order_of_the_mix(spark):
+    got = [r.doc_id for r in P.run(spark, SF).orderBy("start").collect()]
+    kept = spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id in ({','.join(map(str, got))})")
+    assert got == [r.doc_id for r in schedule(kept).orderBy("position").collect()] and got != sorted(got)
+
+
 def test_mixing_is_an_order_that_keeps_every_row(spark):
     rows = [(i, f"t{i}", None, f"s{i % 20}", 1) for i in range(40_000)] + [(90_000, "t", None, None, 1), (None, "u", None, "s1", 1), (None, "v", None, "s2", 1), (7, "w", None, "s3", 1)]
     docs = frame(spark, rows)
