@@ -19,8 +19,9 @@ SCORED = 24
 CONTEXT = WINDOW - SCORED
 WIDTH = 32
 CLASSES = 64
-#: Windows of a training step.
+#: Windows of a training step, and of those computed at a time, whose arrays stay in a core's cache.
 BATCH = 64
+BLOCK = 64
 #: Ids with rows of their own; others share rows by their value.
 TOP = 4_096
 RARE = 256
@@ -171,41 +172,6 @@ def fresh(seed: int = 3) -> dict[str, np.ndarray]:
     return out
 
 
-_CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0, -1e9).astype(np.float32)
-
-
-def hidden(w: dict[str, np.ndarray], rows: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(state of scored positions, and what gradients need); ``there`` [n, WINDOW] masks padding."""
-    n = len(rows)
-    x = w["e"].take(rows, 0)
-    x += w["p"]
-    last = np.ascontiguousarray(x[:, CONTEXT:])
-    flat, tail = x.reshape(-1, WIDTH), last.reshape(-1, WIDTH)
-    q = (tail @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(n, SCORED, WIDTH)
-    k, v = (flat @ w["k"]).reshape(n, WINDOW, WIDTH), (flat @ w["v"]).reshape(n, WINDOW, WIDTH)
-    score, total = _attended(q, k, there)
-    mean = score @ v
-    mean /= total
-    z = tail @ w["r"]
-    z += mean.reshape(-1, WIDTH) @ w["o"]
-    z += w["b"]
-    z /= 1 + np.abs(z)
-    return z.reshape(n, SCORED, WIDTH), x, q, k, v, score, total, mean
-
-
-def _attended(q: np.ndarray, k: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masked weights of every scored position over the window, and their sums."""
-    score = q @ k.transpose(0, 2, 1)
-    np.minimum(score, 50, out=score)
-    score += _CAUSAL
-    if not there.all():
-        score += np.where(there, 0, -1e9).astype(np.float32)[:, None, :]
-    np.exp(score, out=score)
-    total = (score.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), score.dtype)).reshape(len(q), SCORED, 1)
-    total += 1e-30
-    return score, total
-
-
 def earlier(voc: Vocabulary, ids: np.ndarray, there: np.ndarray) -> np.ndarray:
     """The id before the one just before every scored position [n, SCORED]."""
     return np.where(there[:, CONTEXT - 1 : -1], ids[:, CONTEXT - 1 : -1], voc.begin)
@@ -219,21 +185,26 @@ def prepared(w: dict[str, np.ndarray], voc: Vocabulary) -> dict[str, np.ndarray]
     place = w["p"][CONTEXT:] @ query_rest
     place[:, WIDTH:] += w["b"]
     out = {"kv": w["e"] @ key_value, "kv_at": w["p"] @ key_value, "qr": w["e"] @ query_rest, "qr_at": place, "c": w["c"], "after": voc.after + w["d"]}
-    far = lambda x: float(np.linalg.norm(x[:, :WIDTH], axis=1).max())
-    out["clip"] = np.array([(far(out["kv"]) + far(out["kv_at"])) * (far(out["qr"]) + far(out["qr_at"])) > 50, (np.abs(w["c"]).sum(0) + np.abs(w["d"])).max() > 60])
+    out["clip"] = np.array([_farthest(out["kv"], out["kv_at"], out["qr"], out["qr_at"]) > 50, (np.abs(w["c"]).sum(0) + np.abs(w["d"])).max() > 60])
     return out
 
 
+def _farthest(kv: np.ndarray, kv_at: np.ndarray, qr: np.ndarray, qr_at: np.ndarray) -> float:
+    """What no product of a query and a key, taken from these tables by id and by place, is above."""
+    norm = lambda x: float(np.linalg.norm(x[:, :WIDTH], axis=1).max())
+    return (norm(kv) + norm(kv_at)) * (norm(qr) + norm(qr_at))
+
+
 class Room:
     """Arrays that are used again from batch to batch."""
 
-    def __init__(self):
-        self.held: dict[str, np.ndarray] = {}
+    def __init__(self, kind: np.dtype | type = np.float32):
+        self.kind, self.held = kind, {}
 
     def __call__(self, name: str, *shape: int) -> np.ndarray:
         size = int(np.prod(shape))
         if name not in self.held or len(self.held[name]) < size:
-            self.held[name] = np.empty(size, np.float32)
+            self.held[name] = np.empty(size, self.kind)
         return self.held[name][:size].reshape(shape)
 
 
@@ -274,47 +245,113 @@ def log_probs(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, target
     return (picked - np.log(np.matmul(logits, _ONES[:CLASSES], out=total)[:, 0]) + shares(voc, target, one, two)).reshape(targets.shape)
 
 
-def gradients(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, targets: np.ndarray, there: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean class loss over the ``scored`` places and its gradient."""
+def gradients(w: dict[str, np.ndarray], voc: Vocabulary, ids: np.ndarray, targets: np.ndarray, there: np.ndarray, scored: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean class loss over the ``scored`` places and its gradient.
+
+    Keys, values, queries and rests of a batch are taken from tables of its distinct rows, as in ``prepared``, and their
+    gradients are added up there, so that matrices meet each distinct row once. BLOCK windows are computed at a time.
+    """
+    kind = w["e"].dtype
+    room, ones = room or Room(kind), _ONES.astype(kind, copy=False)
     rows = voc.row[ids]
-    z, x, q, k, v, a, total, mean = hidden(w, rows, there)
-    a /= total
-    logits = z @ w["c"] + w["d"] + voc.after[voc.context(ids[:, CONTEXT:], earlier(voc, ids, there))]
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits, out=logits)
-    p /= p.sum(2, keepdims=True)
-    cls = voc.cls[targets]
+    there_is = np.zeros(ROWS, bool)
+    there_is[rows] = True
+    own = np.flatnonzero(there_is)
+    rank = np.empty(ROWS, np.int64)
+    rank[own] = np.arange(len(own))
+    at, tail = rank[rows], rank[rows[:, CONTEXT:]]
+    context, cls = voc.context(ids[:, CONTEXT:], earlier(voc, ids, there)), voc.cls[targets]
     n = max(1, int(scored.sum()))
-    picked = np.take_along_axis(p, cls[:, :, None], 2)[:, :, 0]
-    loss = float(-(np.log(np.maximum(picked, 1e-12)) * scored).sum() / n)
-    np.put_along_axis(p, cls[:, :, None], picked[:, :, None] - 1, 2)
-    p *= (scored / n)[:, :, None].astype(np.float32)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    last = x[:, CONTEXT:]
-    g = {"c": flat(z).T @ flat(p), "d": flat(p).sum(0)}
-    dh = (p @ w["c"].T) * (1 - np.abs(z)) ** 2  # of z = h / (1 + |h|)
-    g |= {"r": flat(last).T @ flat(dh), "o": flat(mean).T @ flat(dh), "b": flat(dh).sum(0)}
-    dmean = dh @ w["o"].T
-    da = dmean @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dmean
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = ds @ k * WIDTH**-0.5, ds.transpose(0, 2, 1) @ q  # q is scaled already
-    g |= {"q": flat(last).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, CONTEXT:] += dq @ w["q"].T + dh @ w["r"].T
-    g["p"] = dx.sum(0)
-    order = np.argsort(rows.ravel(), kind="stable")
-    own, first = np.unique(rows.ravel()[order], return_index=True)
+
+    scale = np.asarray(WIDTH**-0.5, kind)
+    key_value = np.concatenate([w["k"], w["v"] @ w["o"]], 1)
+    query_rest = np.concatenate([w["q"] * scale, w["r"]], 1)
+    e, last = w["e"][own], w["p"][CONTEXT:]
+    kv_of, qr_of, kv_at, qr_at = e @ key_value, e @ query_rest, w["p"] @ key_value, last @ query_rest
+    qr_at[:, WIDTH:] += w["b"]
+    far = _farthest(kv_of, kv_at, qr_of, qr_at) > 50
+    large = (np.abs(w["c"]).sum(0) + np.abs(w["d"])).max() > 60
+    two = np.result_type(kind, np.complex64)  # two neighbours are added as one complex number
+    cell = np.arange(len(own) * WIDTH // 2).reshape(-1, WIDTH // 2)
+    of = {x: np.zeros(len(own) * WIDTH, kind) for x in "kvqr"}  # gradients by row, and by place
+    by = {x: np.zeros((WINDOW if x in "kv" else SCORED) * WIDTH, kind) for x in "kvqr"}
+    g, loss = {"c": np.zeros_like(w["c"]), "d": np.zeros_like(w["d"])}, 0.0
+    for lo in range(0, len(ids), BLOCK):
+        part = slice(lo, lo + BLOCK)
+        size = len(ids[part])
+        flat = size * SCORED
+        kv = kv_of.take(at[part], 0, out=room("kv", size, WINDOW, 2 * WIDTH), mode="clip")
+        kv += kv_at
+        qr = qr_of.take(tail[part], 0, out=room("qr", size, SCORED, 2 * WIDTH), mode="clip")
+        qr += qr_at
+        k, v, q = kv[:, :, :WIDTH], kv[:, :, WIDTH:], qr[:, :, :WIDTH]
+        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", size, SCORED, WINDOW))
+        if far:
+            np.minimum(a, 50, out=a)
+        np.exp(a, out=a)
+        a *= _MAY
+        if not there[part].all():
+            a *= there[part][:, None, :]
+        total = np.matmul(a.reshape(-1, WINDOW), ones[:WINDOW], out=room("total", flat, 1))
+        total += 1e-30
+        np.reciprocal(total, out=total)
+        a *= total.reshape(size, SCORED, 1)
+        z = np.matmul(a, v, out=room("z", size, SCORED, WIDTH))
+        z += qr[:, :, WIDTH:]
+        slope = np.abs(z, out=room("slope", size, SCORED, WIDTH))
+        slope += 1
+        np.reciprocal(slope, out=slope)
+        z *= slope  # z = h / (1 + |h|)
+        p = np.matmul(z.reshape(flat, WIDTH), w["c"], out=room("p", flat, CLASSES))
+        p += w["d"]
+        p += voc.after.take(context[part].ravel(), 0, out=room("after", flat, CLASSES) if voc.after.dtype == kind else None, mode="clip")
+        if large:
+            p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        total = np.matmul(p, ones[:CLASSES], out=total)
+        np.reciprocal(total, out=total)
+        target = np.arange(flat) * CLASSES + cls[part].ravel()
+        weight = scored[part].ravel().astype(kind)
+        loss -= float((np.log(np.maximum(p.ravel()[target] * total[:, 0], 1e-12)) * weight).sum())
+        weight /= n
+        total[:, 0] *= weight
+        p *= total
+        p.ravel()[target] -= weight
+        g["c"] += z.reshape(flat, WIDTH).T @ p
+        g["d"] += p.sum(0)
+        dh = np.matmul(p, w["c"].T, out=room("dh", flat, WIDTH)).reshape(size, SCORED, WIDTH)
+        dh *= slope
+        dh *= slope
+        dv = np.matmul(a.transpose(0, 2, 1), dh, out=room("dv", size, WINDOW, WIDTH))
+        ds = np.matmul(dh, v.transpose(0, 2, 1), out=room("ds", size, SCORED, WINDOW))
+        ds *= a
+        a *= np.matmul(ds.reshape(-1, WINDOW), ones[:WINDOW], out=total).reshape(size, SCORED, 1)
+        ds -= a
+        dq = np.matmul(ds, k, out=room("dq", size, SCORED, WIDTH))
+        dk = np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", size, WINDOW, WIDTH))
+        cells, tails = cell.take(at[part].ravel(), 0).ravel(), cell.take(tail[part].ravel(), 0).ravel()
+        for x, d, where in (("k", dk, cells), ("v", dv, cells), ("q", dq, tails), ("r", dh, tails)):
+            np.add.at(of[x].view(two), where, d.reshape(-1).view(two))
+            by[x] += d.reshape(size, -1).sum(0)
+    dkv_of, dqr_of = (np.concatenate([of[x].reshape(-1, WIDTH) for x in xs], 1) for xs in ("kv", "qr"))
+    dkv_at, dqr_at = (np.concatenate([by[x].reshape(-1, WIDTH) for x in xs], 1) for xs in ("kv", "qr"))
+    dkv, dqr = e.T @ dkv_of + w["p"].T @ dkv_at, e.T @ dqr_of + last.T @ dqr_at
+    g |= {"k": dkv[:, :WIDTH], "v": dkv[:, WIDTH:] @ w["o"].T, "o": w["v"].T @ dkv[:, WIDTH:]}
+    g |= {"q": dqr[:, :WIDTH] * scale, "r": dqr[:, WIDTH:], "b": dqr_at[:, WIDTH:].sum(0)}
+    g["p"] = dkv_at @ key_value.T
+    g["p"][CONTEXT:] += dqr_at @ query_rest.T
     g["e"] = np.zeros_like(w["e"])
-    g["e"][own] = np.add.reduceat(flat(dx)[order], first, axis=0)
-    return loss, g
+    g["e"][own] = dkv_of @ key_value.T + dqr_of @ query_rest.T
+    return loss / n, g
 
 
 def fit(w: dict[str, np.ndarray], voc: Vocabulary, windows: np.ndarray, rate: float, epochs: int = 1, batch: int = BATCH, seed: int = 1) -> tuple[dict[str, np.ndarray], float]:
     """Adam over ``windows`` [n, WINDOW + 1] (padding is -1, at both ends); returns weights and the last mean loss."""
-    w = {n: x.copy() for n, x in w.items()}
-    m, s = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}
-    rng, step, losses = np.random.default_rng(seed), 0, [0.0]
+    flat, cuts = np.concatenate([w[n].ravel() for n in w]), np.cumsum([w[n].size for n in w])[:-1]
+    w = {n: x.reshape(w[n].shape) for n, x in zip(w, np.split(flat, cuts), strict=True)}  # parts of one array
+    m, s, by, slope = (np.zeros_like(flat) for _ in range(4))
+    slopes = dict(zip(w, np.split(slope, cuts), strict=True))
+    rng, step, losses, room = np.random.default_rng(seed), 0, [0.0], Room(flat.dtype)
     for _ in range(epochs):
         losses = [0.0]
         for at in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // batch)):
@@ -322,13 +359,24 @@ def fit(w: dict[str, np.ndarray], voc: Vocabulary, windows: np.ndarray, rate: fl
                 continue
             part = windows[at]
             there = part[:, :-1] >= 0
-            loss, g = gradients(w, voc, np.maximum(part[:, :-1], 0), np.maximum(part[:, CONTEXT + 1 :], 0), there, there[:, CONTEXT:] & (part[:, CONTEXT + 1 :] >= 0))
+            loss, g = gradients(w, voc, np.maximum(part[:, :-1], 0), np.maximum(part[:, CONTEXT + 1 :], 0), there, there[:, CONTEXT:] & (part[:, CONTEXT + 1 :] >= 0), room)
             losses.append(loss)
             step += 1
             for n in w:
-                m[n] += 0.1 * (g[n] - m[n])
-                s[n] += 0.01 * (g[n] ** 2 - s[n])
-                w[n] -= rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(s[n] / (1 - 0.99**step)) + 1e-8)
+                slopes[n][:] = g[n].ravel()
+            np.subtract(slope, m, out=by)
+            by *= 0.1
+            m += by
+            np.square(slope, out=by)
+            by -= s
+            by *= 0.01
+            s += by
+            np.multiply(s, 1 / (1 - 0.99**step), out=by)
+            np.sqrt(by, out=by)
+            by += 1e-8
+            np.divide(m, by, out=by)
+            by *= rate / (1 - 0.9**step)
+            flat -= by
     return w, float(np.mean(losses[1:] or [0.0]))
 
 

@@ -44,6 +44,8 @@ GROUPS = 32
 PIECE = 16_384
 #: Windows scored at a time.
 BATCH = 128
+#: Ids that are opened at a time: few enough for arrays that a process keeps, as fresh ones cost more than the work on them.
+OPEN_IDS = 1 << 17
 REPORT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _FRAMES = "unit long, doc_id long, held_out boolean, n int, frame binary, bucket int, h array<long>, c array<long>"
 
@@ -117,7 +119,7 @@ def _distinct(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.add.reduceat(c[order], new) if len(new) else np.empty(0, np.int64)
 
 
-def _opened(batch: pa.RecordBatch | pa.Table, wide: bool, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _opened(batch: pa.RecordBatch | pa.Table, wide: bool, limit: int = OPEN_IDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, counts) of runs of rows with about ``limit`` ids."""
     open_ = zstandard.ZstdDecompressor()
     n = batch.column("n").to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column("n").to_numpy()
@@ -165,7 +167,7 @@ def _summed(train: DataFrame, wide: bool, size: int, add: Callable[[np.ndarray,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, pack = np.zeros(size + 1, np.int64), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for lo, hi, ids, count in _opened(batch, wide, 1 << 21):
+            for lo, hi, ids, count in _opened(batch, wide):
                 grid[-1] += hi - lo
                 add(grid[:-1], ids, np.append(0, ids[:-1]), np.append([0, 0], ids[:-2])[: len(ids)], np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count))
         cuts = list(range(0, size + 1, PIECE))
@@ -185,24 +187,24 @@ def _summed(train: DataFrame, wide: bool, size: int, add: Callable[[np.ndarray,
     return grid[:-1], int(grid[-1])
 
 
-def _id_counts(size: int) -> Callable:
+def _id_counts() -> Callable:
     def add(grid: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
-        grid += np.bincount(ids, minlength=size)
+        np.add.at(grid, ids, 1)
 
     return add
 
 
 def _neighbours(row: np.ndarray, begin: int) -> Callable:
     """Hashed neighbours to the left and right of the ids with rows of their own."""
+    group = (ts.mix(np.arange(len(row), dtype=np.uint64)) % _U(GROUPS)).astype(np.int64)
 
     def add(grid: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
-        group = (ts.mix(np.arange(len(row), dtype=np.uint64)) % _U(GROUPS)).astype(np.int64)
         before = np.where(place == 0, begin, one)
         top = row[ids] < net.TOP
         half = net.TOP * GROUPS
-        grid[:half] += np.bincount(row[ids[top]].astype(np.int64) * GROUPS + group[before[top]], minlength=half)
+        np.add.at(grid, row[ids[top]].astype(np.int64) * GROUPS + group[before[top]], 1)
         top = (row[before] < net.TOP) & (place > 0)
-        grid[half:] += np.bincount(row[before[top]].astype(np.int64) * GROUPS + group[ids[top]], minlength=half)
+        np.add.at(grid, half + row[before[top]].astype(np.int64) * GROUPS + group[ids[top]], 1)
 
     return add
 
@@ -214,12 +216,12 @@ def _followed(voc: net.Vocabulary) -> Callable:
     def add(grid: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
         one, two = np.where(place == 0, voc.begin, one), np.where(place < 2, voc.begin, two)
         at = voc.context(one, two).astype(np.int64)
-        grid[:moves] += np.bincount(at * net.CLASSES + voc.cls[ids], minlength=moves)
+        np.add.at(grid, at * net.CLASSES + voc.cls[ids], 1)
         row, last = voc.row[ids].astype(np.int64), voc.row[one].astype(np.int64)
         own = row < net.TOP
-        grid[moves : moves + pairs] += np.bincount(row[own] * net.BEFORE + voc.before[one[own]], minlength=pairs)
+        np.add.at(grid, moves + row[own] * net.BEFORE + voc.before[one[own]], 1)
         own = (row < net.NEXT) & (last < net.LAST)
-        grid[moves + pairs :] += np.bincount((row[own] * net.LAST + last[own]) * net.EARLIER + voc.cls[two[own]] % net.EARLIER, minlength=len(grid) - moves - pairs)
+        np.add.at(grid, moves + pairs + (row[own] * net.LAST + last[own]) * net.EARLIER + voc.cls[two[own]] % net.EARLIER, 1)
 
     return add
 
@@ -244,15 +246,22 @@ def _trained(train: DataFrame, voc: Broadcast, wide: bool) -> dict[str, np.ndarr
         return net.fresh()
     kind = "<u4" if wide else "<u2"
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, ids, count in _opened(batch, wide):
-                first, end, lead, h = _cut(ids, count, doc[lo:hi])
-                flat = ids.astype(kind)
-                data = [pack(flat[a:b].tobytes()) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array((h >> _U(1)).astype(np.int64), pa.int64()), "deal": pa.array((h >> _U(61)).astype(np.int32) % DEALS, pa.int32()), "n": pa.array(end - first, pa.int32()), "lead": pa.array(lead, pa.int32()), "frame": pa.array(data, pa.binary())})
+    def pieces(begun: int, bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Those of a round; the others are not packed."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            for batch in batches:
+                doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                for lo, hi, ids, count in _opened(batch, wide):
+                    first, end, lead, h = _cut(ids, count, doc[lo:hi])
+                    deal = (h >> _U(61)).astype(np.int32) % DEALS
+                    own = np.flatnonzero((deal >= begun) & (deal < bound))
+                    flat = ids.astype(kind)
+                    data = [pack(flat[a:b].tobytes()) for a, b in zip(first[own].tolist(), end[own].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"h": pa.array((h[own] >> _U(1)).astype(np.int64), pa.int64()), "n": pa.array((end - first)[own], pa.int32()), "lead": pa.array(lead[own], pa.int32()), "frame": pa.array(data, pa.binary())})
+
+        return run
 
     def fitted(start: dict[str, np.ndarray], rate: float, batch: int) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
@@ -271,10 +280,10 @@ def _trained(train: DataFrame, voc: Broadcast, wide: bool) -> dict[str, np.ndarr
 
     schema = "trainer long, n long, w binary"
     most = -(-count // TRAINER_WINDOWS)
-    dealt = train.mapInArrow(pieces, "h long, deal int, n int, lead int, frame binary").withColumn("trainer", F.pmod("h", F.lit(most)))
     out, begun = net.fresh(), 0
     for bound, rate, batch in ROUNDS:
-        sums = dealt.where((F.col("deal") >= begun) & (F.col("deal") < bound)).repartition(most, "trainer").groupBy("trainer").applyInArrow(fitted(out, rate, batch), schema)
+        dealt = train.mapInArrow(pieces(begun, bound), "h long, n int, lead int, frame binary").withColumn("trainer", F.pmod("h", F.lit(most)))
+        sums = dealt.repartition(most, "trainer").groupBy("trainer").applyInArrow(fitted(out, rate, batch), schema)
         trainers, begun = most, bound
         while trainers > 1:
             trainers = -(-trainers // BRANCH)
@@ -315,7 +324,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, fold: int = 0) -> DataFrame:
     every = settle(_frames(docs, tokenizer, end, fold, deals(docs)), "frames")
     frames = every.where("frame is not null").select("unit", "doc_id", "held_out", "n", "frame")
     train = frames.where("not held_out")
-    counts, n_docs = _summed(train, wide, size, _id_counts(size))
+    counts, n_docs = _summed(train, wide, size, _id_counts())
     around, _ = _summed(train, wide, 2 * net.TOP * GROUPS, _neighbours(net.rows_of(counts)[1], end))
     voc = net.vocabulary(counts, net.cluster(counts, *around.reshape(2, net.TOP, GROUPS)), end)
     sizes = [net.CONTEXTS * net.CLASSES, net.TOP * net.BEFORE, net.NEXT * net.LAST * net.EARLIER]
@@ -357,7 +366,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, fold: int = 0) -> DataFrame:
         h, c = h[order], c[order]
         log_end = float(np.log10(n_docs + ADD))
         base, known_, tokens, score = [], [], [], []
-        for _, _, ids, count in _opened(table, wide, 1 << 19):
+        for _, _, ids, count in _opened(table, wide):
             found, at = words_of(ids, count)
             times = c[np.searchsorted(h, found)] if len(h) else np.empty(0, np.int64)
             part = np.append(0, np.cumsum(np.log10(times + ADD)))

@@ -14,6 +14,8 @@ from shelfwise.llm.token_files import Encoder, _spread
 #: Longest entry that is looked up, and longest stretch of a piece that is matched at once.
 LONGEST = 16
 STRETCH = 64
+#: Bytes that bound the length of what may start with them.
+HEAD = 4
 _BITS = 22
 
 _U = np.uint64
@@ -43,6 +45,11 @@ class Subwords(Encoder):
         key = ts.range_hash(ts.prefix_sums(self.bytes, fold=False), self.offsets[own], self.offsets[own + 1])
         self.there = np.zeros(1 << _BITS, bool)
         self.there[(key & _U((1 << _BITS) - 1)).astype(np.int64)] = True
+        # of each head's place, the longest entry with it; shorter entries are always looked up
+        self.reach = np.full(1 << _BITS, HEAD - 1, np.uint8)
+        headed = own[size[own] >= HEAD]
+        head = ts.range_hash(ts.prefix_sums(self.bytes, fold=False), self.offsets[headed], self.offsets[headed] + HEAD)
+        np.maximum.at(self.reach, (head & _U((1 << _BITS) - 1)).astype(np.int64), np.minimum(size[headed], LONGEST).astype(np.uint8))
         order = np.argsort(key)
         self.vocabulary_keys, self.vocabulary_ids = key[order], own[order].astype(np.uint32)
 
@@ -76,9 +83,15 @@ class Subwords(Encoder):
 
     def _longest(self, sums: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, lens = np.zeros(len(at), np.uint32), np.zeros(len(at), np.int64)
-        open_ = np.arange(len(at))
+        reach = stop - at
+        long = np.flatnonzero(reach >= HEAD)
+        head = ts.range_hash(sums, at[long], at[long] + HEAD)
+        reach[long] = np.minimum(reach[long], self.reach[(head & _U((1 << _BITS) - 1)).astype(np.int64)])
+        open_ = np.flatnonzero(reach >= HEAD)
         for n in range(LONGEST, 0, -1):
-            able = open_[stop[open_] - at[open_] >= n]
+            if n == HEAD - 1:
+                open_ = np.flatnonzero(lens == 0)
+            able = open_[reach[open_] >= n]
             h = ts.range_hash(sums, at[able], at[able] + n)
             maybe = self.there[(h & _U((1 << _BITS) - 1)).astype(np.int64)]
             able, h = able[maybe], h[maybe]
@@ -86,8 +99,6 @@ class Subwords(Encoder):
             hit = self.vocabulary_keys[k] == h
             ids[able[hit]], lens[able[hit]] = self.vocabulary_ids[k[hit]], n
             open_ = open_[lens[open_] == 0]
-            if not len(open_):
-                break
         if len(open_):
             raise ValueError("the vocabulary does not hold all single bytes")
         return ids, lens

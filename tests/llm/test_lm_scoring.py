@@ -110,6 +110,54 @@ def test_gradients():
         assert np.isclose((up - down) / 2e-5, g[name][i], rtol=2e-2, atol=1e-6), name
 
 
+def test_gradients_of_many_windows():
+    voc, w, rng = small(6)
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    n = net.BLOCK + 7
+    ids, targets = rng.integers(0, 6_000, (n, net.WINDOW)), rng.integers(0, 6_000, (n, net.SCORED))
+    there = np.arange(net.WINDOW)[None, :] >= rng.integers(0, 12, n)[:, None]
+    scored = there[:, net.CONTEXT :] & (rng.random((n, net.SCORED)) < 0.9)
+    loss, g = net.gradients(w, voc, ids, targets, there, scored)
+    each = [(scored[i].sum() / scored.sum(), net.gradients(w, voc, *(x[i : i + 1] for x in (ids, targets, there, scored)))) for i in range(n)]
+    assert np.isclose(sum(share * part[0] for share, part in each), loss)
+    for name in g:
+        assert np.allclose(sum(share * part[1][name] for share, part in each), g[name], rtol=1e-6, atol=1e-9), name
+
+
+def test_arrays_of_a_training_step_do_not_grow_with_it():
+    import tracemalloc
+
+    voc, w, rng = small(7)
+    windows = rng.integers(0, 6_000, (2_048, net.WINDOW + 1)).astype(np.int32)
+    peak = []
+    for n in (256, 2_048):
+        tracemalloc.start()
+        net.fit(w, voc, windows[:n], 0.002, 1, n)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] - peak[0] < 12e6, peak  # not each of the many arrays of all places
+
+
+def test_long_entries_are_looked_up_where_they_may_start(monkeypatch):
+    from shelfwise.llm import textscan as ts
+
+    match, looked, plain_hash = subwords(PATH)._pieces, [], ts.range_hash
+    monkeypatch.setattr(ts, "range_hash", lambda sums, starts, ends: looked.append(len(starts)) or plain_hash(sums, starts, ends))
+    rng = np.random.default_rng(8)
+    junk = rng.choice(np.frombuffer(b"qxzjkvw0123456789", np.uint8), 40_000)
+    ids, _ = match(junk, np.arange(0, 40_000, 20), np.arange(20, 40_001, 20))
+    assert sum(looked) < 5 * len(ids), (sum(looked), len(ids))
+    entries = {subwords(PATH).bytes[a:b].tobytes(): i for i, (a, b) in enumerate(zip(subwords(PATH).offsets[:-1], subwords(PATH).offsets[1:], strict=True))}
+    at, want = 0, []
+    for start in range(0, 4_000, 20):
+        at = start
+        while at < start + 20:
+            size = next(n for n in range(min(16, start + 20 - at), 0, -1) if junk[at : at + n].tobytes() in entries)
+            want.append(entries[junk[at : at + size].tobytes()])
+            at += size
+    assert ids[: len(want)].tolist() == want
+
+
 def test_every_id_is_a_training_target_once():
     rng = np.random.default_rng(4)
     each = PIECE_WINDOWS * net.SCORED
