@@ -142,24 +142,28 @@ def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) ->
     return cell_pairs(homes, limit, ["library_id", *extra])
 
 
-def equal_pairs(rows: DataFrame, keys: list[str], item: str, block: int = 4_096) -> DataFrame:
+def equal_pairs(rows: DataFrame, keys: list[str], item: str, block: int = 4_096, carry: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, a, b) of items with equal keys, a < b: a join of ``rows`` with themselves that hot keys don't hold up.
 
     Keys are counted. Items of a key with more than ``block`` rows are dealt into blocks by hash and each pair of blocks
     is a key of its own, so no task has more than two blocks of a key; each such item is copied once a block. Null
-    items are in no pair, and rows that repeat give pairs that repeat.
+    items are in no pair, and rows that repeat give pairs that repeat. Columns named in ``carry`` come along as those
+    of a and of b, with ``_a`` and ``_b`` at the end of their names.
     """
-    rows = rows.where(F.col(item).isNotNull()).select(*keys, item)
+    rows = rows.where(F.col(item).isNotNull()).select(*keys, item, *carry)
     hot = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("k_")).where("k_ > 1")
     many = hot.limit(100_001).count()
-    x, y = (rows.withColumnRenamed(item, c) for c in ("x_", "y_"))
+    side = lambda c: [F.col(item).alias(c), *[F.col(x).alias(f"{c}{x}") for x in carry]]
     if not many:
-        return x.join(y, keys).where("x_ < y_").select(*keys, F.col("x_").alias("a"), F.col("y_").alias("b"))
+        both = rows.select(*keys, *side("x_")).join(rows.select(*keys, *side("y_")), keys).where("x_ < y_")
+        return both.select(*keys, F.col("x_").alias("a"), F.col("y_").alias("b"), *[F.col(f"{c}{x}").alias(f"{x}_{e}") for c, e in (("x_", "a"), ("y_", "b")) for x in carry])
     rows = rows.join(F.broadcast(hot) if many <= 100_000 else hot, keys, "left").withColumn("k_", F.coalesce("k_", F.lit(1))).withColumn("own_", F.pmod(F.xxhash64(item), "k_").cast("int"))
-    x = rows.select(*keys, F.col(item).alias("x_"), F.col("own_").alias("i_"), F.explode(F.sequence("own_", F.col("k_") - 1)).alias("j_"))
-    y = rows.select(*keys, F.col(item).alias("y_"), F.explode(F.sequence(F.lit(0), "own_")).alias("i_"), F.col("own_").alias("j_"))
+    x = rows.select(*keys, *side("x_"), F.col("own_").alias("i_"), F.explode(F.sequence("own_", F.col("k_") - 1)).alias("j_"))
+    y = rows.select(*keys, *side("y_"), F.explode(F.sequence(F.lit(0), "own_")).alias("i_"), F.col("own_").alias("j_"))
     both = x.join(y, [*keys, "i_", "j_"]).where("i_ < j_ or x_ < y_")
-    return both.select(*keys, F.least("x_", "y_").alias("a"), F.greatest("x_", "y_").alias("b"))
+    less = F.col("x_") < F.col("y_")
+    carried = [F.when(less if e == "a" else ~less, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")).alias(f"{c}_{e}") for e in "ab" for c in carry]
+    return both.select(*keys, F.least("x_", "y_").alias("a"), F.greatest("x_", "y_").alias("b"), *carried)
 
 
 def hash_pairs(hashes: DataFrame, bits: int = K.HASH_BITS) -> DataFrame:
