@@ -71,7 +71,8 @@ def near_step(new: DataFrame, path: str, no: int, limit: float = K.NEAR) -> None
     """Takes the prints ``new`` (library_id, asset_id, vec) as step ``no``.
 
     Known prints lie in the cells of their nearest pivots. A new one visits each cell whose pivot is at most twice
-    the limit further away than its nearest: by the triangle inequality no close one lies elsewhere. Pivots are
+    the limit further away than its nearest: by the triangle inequality no close one lies elsewhere. Where cells don't
+    pay there are no pivots, and one cell. Pivots are
     chosen again, and the known prints dealt again, whenever there are twice as many, so dealing costs a constant
     number of writes a print. Cells are written rebalanced: a small one is one file, a hot one many. Prints that can't be compared are in no pair. An id that comes again counts with both
     its prints.
@@ -86,7 +87,7 @@ def near_step(new: DataFrame, path: str, no: int, limit: float = K.NEAR) -> None
         gen, pivots = before[0], before[2]
     else:
         gen, every = no, known.select(new.columns).union(new)
-        pivots = pairs.choose_pivots(every, total)
+        pivots = pairs.choose_pivots(every, total, limit)
         rows = [(None, None, total), *[(d, v.tolist(), total) for d, grid in pivots.items() for v in grid]]
         spark.createDataFrame(rows, "dim int, vec array<double>, dealt long").coalesce(1).write.mode("overwrite").parquet(f"{path}/pivots/gen={gen}")
         again = pairs.in_cells(known.select(new.columns), pivots, limit).where("not guest").drop("guest")

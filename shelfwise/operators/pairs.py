@@ -17,6 +17,12 @@ from shelfwise.session import settle
 #: Vectors of a block of a distance matrix, and pivots (one for a block's worth of vectors) at most.
 BLOCK = 1_024
 PIVOTS = 1_024
+#: Large cells are dealt into so many blocks, as long as a block has no more numbers than that.
+BLOCKS, NUMBERS = 12, 2 << 20
+#: A copy of a vector costs as much as so many comparisons; fewer guests to a vector than those are always worth it.
+WORTH, GUESTS = 5_000, 4
+#: A tile of a distance matrix, and the coordinates that are looked at first.
+TILE, FIRST = (1_024, 8_192), 16
 
 
 def bucket_pairs(prints: DataFrame, limit: float = K.SIMILAR, bucket_s: int = 900) -> DataFrame:
@@ -67,6 +73,51 @@ def _with(batch: pa.RecordBatch, cell: np.ndarray, guest: bool) -> pa.RecordBatc
     return batch.append_column("cell", pa.array(cell)).append_column("guest", pa.array([guest] * batch.num_rows, pa.bool_()))
 
 
+def _augmented(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices whose product is that of the squared distances, in single precision."""
+    one = np.ones((len(x), 1)), np.ones((len(y), 1))
+    return np.hstack([-2 * x, (x * x).sum(1)[:, None], one[0]]).astype(np.float32), np.hstack([y, one[1], (y * y).sum(1)[:, None]]).astype(np.float32)
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, limit: float, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in ``x`` and ``y`` of all vectors closer than ``limit``, and of a few more, tile by tile; ``within``: j > i only.
+
+    A distance over some coordinates is no larger than the whole one, so few coordinates leave little to look at again.
+    Sums in single precision are off by less than the margin; where numbers are too large for it, double precision is used.
+    """
+    top = max(np.where(np.isfinite(v), np.abs(v), 0).max(initial=0) for v in (x, y))
+    single = top < 1e6 and np.isfinite(x).all() and np.isfinite(y).all()
+    if single:
+        middle = x.mean(0) if len(x) else 0.0
+        x, y = x - middle, y - middle
+        most = max((x * x).sum(1).max(initial=0), (y * y).sum(1).max(initial=0))
+        edge = limit * limit * (1 + 1e-5) + 3e-5 * most + 1e-30
+        some = np.sort(np.argsort(-x.var(0), kind="stable")[:FIRST])
+        few, full = _augmented(x[:, some], y[:, some]), None
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    for lo in range(0, len(x), TILE[0]):
+        for at in range(lo - lo % TILE[1] if within else 0, len(y), TILE[1]):
+            r, c = slice(lo, lo + TILE[0]), slice(at, at + TILE[1])
+            if not single:
+                i, j = np.nonzero(_squares(x[r], y[c]) < limit * limit * (1 + 1e-9) + 1e-9 * (1 + top**2))
+            else:
+                close = few[0][r] @ few[1][c].T < edge
+                place = np.flatnonzero(close)
+                if len(place) > close.size // 50 and x.shape[1] > FIRST:
+                    full = full or _augmented(x, y)
+                    place = np.flatnonzero(full[0][r] @ full[1][c].T < edge)
+                i, j = np.divmod(place, close.shape[1])
+            i, j = i + lo, j + at
+            if within:
+                i, j = i[j > i], j[j > i]
+            for k in range(0, len(i), 1 << 16):
+                e, f = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                if single:
+                    keep = ((x32[e] - y32[f]) ** 2).sum(1) < edge
+                    e, f = e[keep], f[keep]
+                yield e, f
+
+
 def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table]:
     """Pairs of one block against another (``side`` 1 and 2), or within one (side 0)."""
 
@@ -74,18 +125,13 @@ def _block_pairs(keys: list[str], limit: float) -> Callable[[pa.Table], pa.Table
         kind, ids, side = table.column("asset_id").type, table.column("asset_id").to_numpy(), table.column("side").to_numpy()
         grid = _grid(table.column("vec"))
         x, y = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
-        close = _squares(grid[x], grid[y]) < limit * limit * (1 + 1e-9) + 1e-9 * (1 + np.abs(grid).max(initial=0) ** 2)
-        if side.any():
-            i, j = np.nonzero(close)
-        else:
-            i, j = np.nonzero(np.triu(close, 1))
-        i, j = x[i], y[j]
-        far = np.empty(len(i))
-        for lo in range(0, len(i), 1 << 16):  # terms are added in order
-            e = slice(lo, lo + (1 << 16))
-            far[e] = np.sqrt(np.cumsum((grid[i[e]] - grid[j[e]]) ** 2, axis=1)[:, -1])
-        keep = (far < limit) & (ids[i] != ids[j])
-        i, j, far = i[keep], j[keep], far[keep]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for i, j in _candidates(grid[x], grid[y], limit, not side.any()):
+            i, j = x[i], y[j]
+            far = np.sqrt(np.cumsum((grid[i] - grid[j]) ** 2, axis=1)[:, -1])  # terms are added in order
+            keep = (far < limit) & (ids[i] != ids[j])
+            found.append((i[keep], j[keep], far[keep]))
+        i, j, far = (np.concatenate(z) for z in zip(*found, strict=True))
         same = {k: table.column(k).combine_chunks().take(pa.array(i)) for k in keys}
         return pa.table({**same, "a": pa.array(np.minimum(ids[i], ids[j]), kind), "b": pa.array(np.maximum(ids[i], ids[j]), kind), "distance": pa.array(far)})
 
@@ -97,13 +143,24 @@ def vectors(prints: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return prints.where("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)").select("library_id", *extra, "asset_id", F.col("vec").cast("array<double>").alias("vec"), F.size("vec").alias("dim"))
 
 
-def choose_pivots(rows: DataFrame, total: int) -> dict[int, np.ndarray]:
-    """A few of ``total`` vectors by hash, for each length."""
+def choose_pivots(rows: DataFrame, total: int, limit: float | None = None, keys: tuple[str, ...] = ("library_id",)) -> dict[int, np.ndarray]:
+    """A few of ``total`` vectors by hash, for each length.
+
+    With ``limit``, none where cells don't pay: where the guests of cells, told from 1 000 vectors, cost more to copy
+    than it costs to compare all vectors of ``keys``.
+    """
     count = min(PIVOTS, -(-total // BLOCK))
+    pick = lambda df, seed, n: df.select("dim", "vec").orderBy(F.xxhash64("asset_id", F.lit(seed)) if seed else F.xxhash64("asset_id"), "asset_id").limit(n).collect()
     chosen: dict[int, list] = {}
-    for r in rows.select("dim", "vec").orderBy(F.xxhash64("asset_id"), "asset_id").limit(count).collect() if count > 1 else []:
+    for r in pick(rows, 0, count) if count > 1 else []:
         chosen.setdefault(r.dim, []).append(r.vec)
-    return {d: np.unique(np.array(v), axis=0) for d, v in chosen.items()}
+    pivots = {d: np.unique(np.array(v), axis=0) for d, v in chosen.items()}
+    if limit is None or not pivots:
+        return pivots
+    tried = [np.sqrt(np.maximum(_squares(np.array([r.vec]), pivots[r.dim]), 0)) for r in pick(rows, 1, 1_000) if r.dim in pivots]
+    guests = sum(((far <= far.min() + 2 * limit).sum() - 1) / 2 for far in tried) / max(1, len(tried))
+    whole = rows.groupBy(*keys, "dim").count().agg(F.sum(F.expr("cast(count as double) * count / 2"))).first()[0]
+    return {} if guests >= GUESTS and whole <= WORTH * guests * total else pivots
 
 
 def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float, every: bool = False) -> DataFrame:
@@ -115,7 +172,8 @@ def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray], limit: float, every
 def cell_pairs(homes: DataFrame, limit: float, keys: list[str], within: bool = True) -> DataFrame:
     """(*keys, a, b, distance) of guests of a cell and its own vectors; ``within`` gives pairs of its own ones too."""
     place = [*keys, "dim", "cell"]
-    sizes = homes.groupBy(*place).agg(*[F.expr(f"cast(ceil(count_if(guest = {g}) / {BLOCK}) as int)").alias(n) for g, n in (("false", "own"), ("true", "guests"))])
+    sizes = homes.groupBy(*place).agg(*[F.count_if(F.col("guest") == g).alias(n) for g, n in ((False, "own"), (True, "guests"))])
+    sizes = sizes.withColumns({n: F.expr(f"cast(ceil({n} / greatest({BLOCK}, least({NUMBERS} div dim, ceil({n} / {BLOCKS})))) as int)") for n in ("own", "guests")})
     blocks = homes.join(sizes, [c for c in place]).withColumn("block", F.pmod(F.xxhash64("asset_id"), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("own"))).cast("int"))
     # left blocks are those of guests and of the cell, right blocks those of the cell: (whether left are guests, left, right, side)
     kind = "array<struct<w:boolean,x:int,y:int,side:int>>"
@@ -132,13 +190,13 @@ def cell_pairs(homes: DataFrame, limit: float, keys: list[str], within: bool = T
 def pivot_pairs(prints: DataFrame, limit: float, extra: tuple[str, ...] = ()) -> DataFrame:
     """(library_id, *extra, a, b, distance) of vectors of a library closer than ``limit``; exact.
 
-    Vectors gather in cells about their nearest pivots. By the triangle inequality a vector can only be close to
+    Where :func:`choose_pivots` finds that it pays, vectors gather in cells about their nearest pivots. By the triangle inequality a vector can only be close to
     vectors of cells whose pivot is not much further away than its own, and it is sent there as well. Within a
     cell, blocks are compared with blocks as matrix products; a cell of very many vectors is many blocks. Vectors of
     different lengths, null ones and those with null elements are close to none. Pivots are a few vectors by hash.
     """
     rows = vectors(prints, extra)
-    homes = settle(in_cells(rows, choose_pivots(rows, rows.count()), limit), "cells")
+    homes = settle(in_cells(rows, choose_pivots(rows, rows.count(), limit, ("library_id", *extra)), limit), "cells")
     return cell_pairs(homes, limit, ["library_id", *extra])
 
 
