@@ -278,6 +278,29 @@ def keyframe_pairs(frames: DataFrame, limit: float = K.KEYFRAME, joined: DataFra
     return mean.where(F.col("distance") < limit)
 
 
+def equal_videos(frames: DataFrame) -> DataFrame:
+    """(library_id, asset_id, head): the least id of the videos of a library whose frames are all the same.
+
+    Frames are compared by a digest of all their numbers. Videos with missing, repeated or endless ones stand alone.
+    """
+    whole = F.array_sort(F.collect_list(F.struct("frame_idx", "vec"))).alias("f")
+    plain = "forall(f, x -> x.frame_idx is not null and x.vec is not null and size(x.vec) > 0 and forall(x.vec, v -> v is not null and not isnan(v - v))) and size(array_distinct(f.frame_idx)) = size(f)"
+    rows = frames.groupBy("library_id", "asset_id").agg(whole).select("library_id", "asset_id", F.expr(f"if({plain}, sha2(cast(f as string), 256), cast(asset_id as string))").alias("key"))
+    return rows.join(rows.groupBy("library_id", "key").agg(F.min("asset_id").alias("head")), ["library_id", "key"]).select("library_id", "asset_id", "head")
+
+
+def keyframe_links(frames: DataFrame, joined: Callable[[DataFrame], DataFrame], limit: float = K.KEYFRAME) -> DataFrame:
+    """(library_id, a, b) of videos that join what :func:`keyframe_pairs` joins, with fewer pairs.
+
+    Videos with the same frames form a star about one of them, which alone is compared with others. ``joined`` gives
+    the components (id, component) that the stars and what is known besides make: pairs within one are left out.
+    """
+    same = settle(equal_videos(frames), "same")
+    stars = same.where("asset_id <> head").select("library_id", F.col("head").alias("a"), F.col("asset_id").alias("b"))
+    heads = frames.join(same.where("asset_id = head").select("library_id", "asset_id"), ["library_id", "asset_id"], "left_semi")
+    return stars.union(keyframe_pairs(heads, limit, joined(stars)).select("library_id", "a", "b"))
+
+
 def lsh_pairs(prints: DataFrame, limit: float, tables: int = 6, width: float = 0.5, seed: int = 3) -> DataFrame:
     """Approximate form of :func:`pivot_pairs` for dense data, by random projections."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

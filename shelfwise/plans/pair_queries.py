@@ -124,7 +124,8 @@ def video_groups(t: Tables) -> DataFrame:
     videos = t.assets.where("media_type = 'video'").select("library_id", "asset_id", "creation_date")
     sizes = scans.primary_resource(t.assets, t.asset_resources).select("asset_id", F.col("file_size").alias("bytes"))
     exact = settle(pairs.hash_pairs(_video_hashes(t)), "exact")
-    return groups.video_groups(videos, sizes, exact, pairs.keyframe_pairs(t.video_frames, joined=connected_components(exact)))
+    near = pairs.keyframe_links(t.video_frames, lambda stars: connected_components(exact.union(stars)))
+    return groups.video_groups(videos, sizes, exact, settle(near, "near"))
 
 
 def _arrivals(t: Tables) -> DataFrame:

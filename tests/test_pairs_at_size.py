@@ -51,3 +51,18 @@ def test_a_large_cell_is_few_blocks(spark, monkeypatch):
     sizes = homes.groupBy("dim").count().first()[1]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert sizes == 400 and f"/ {pairs.BLOCKS}" in plan.replace("cast(", "").replace(".0", "")  # 12 blocks and not 100, so 12 copies of a vector
+
+
+def test_same_videos_are_a_star_and_join_what_all_pairs_join(spark):
+    pick = random.Random(5)
+    kinds = [[[pick.gauss(0, 1) for _ in range(4)] for _ in range(2)] for _ in range(6)]
+    kinds += [[[x + 0.1 for x in v] for v in k] for k in kinds[:3]]
+    rows = [(pick.choice("LM"), i, f, v) for i in range(120) for f, v in enumerate(pick.choice(kinds)[: pick.choice([1, 2])])]
+    rows += [("L", i, 0, v) for i in (200, 201) for v in ([0.0] * 4, [9.0] * 4)]  # an index that repeats
+    rows += [("L", i, 0, [math.nan, 0.0, 0.0, 0.0]) for i in (210, 211)] + [("L", i, 0, None) for i in (220, 221)] + [("L", i, 0, [math.inf, 0.0, 0.0, 0.0]) for i in (230, 231)]
+    frames = spark.createDataFrame(rows, "library_id string, asset_id long, frame_idx int, vec array<double>")
+    parts = lambda df: sorted(map(tuple, connected_components(df).collect()))
+    links = pairs.keyframe_links(frames, connected_components)
+    want = pairs.keyframe_pairs(frames)
+    assert parts(links) == parts(want)
+    assert 2 * links.count() < want.count()
