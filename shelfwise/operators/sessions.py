@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,7 +97,43 @@ def nearest_place(points: DataFrame, places: DataFrame, keys: list[str]) -> Data
     return near.groupBy(*keys).agg(F.min_by(name, F.struct(far, "place_id")).alias("place"))
 
 
-def parted(frame: pd.DataFrame) -> list[tuple]:
-    """Rows for :func:`split_rolls` of a pandas frame; rows without an id only move the time on."""
+class Fold:
+    """:func:`split_rolls` over rows that come in order, a part at a time: of what is behind it holds the open roll's ids only."""
+
+    def __init__(self, ids: bytes = b"", first: float = 0.0, last: float = 0.0, lat: float = 0.0, lon: float = 0.0, count: int = 0):
+        self.pieces, self.first, self.last, self.lat, self.lon, self.count = [np.frombuffer(ids, np.int64)] if ids else [], first, last, lat, lon, count
+
+    def state(self) -> tuple:
+        return b"".join(p.tobytes() for p in self.pieces), self.first, self.last, self.lat, self.lon, self.count
+
+    def add(self, ids: np.ndarray, at: np.ndarray, lat: np.ndarray, lon: np.ndarray, gap_s: float = K.ROLL_GAP_S, km: float = K.ROLL_KM) -> Iterator[tuple]:
+        """(members, first, last, mean latitude, mean longitude) of the rolls that these rows end."""
+        for lo in range(0, len(ids), 1 << 16):
+            part, start = ids[lo : lo + (1 << 16)], 0
+            for k, (t, y, x) in enumerate(zip(*(c[lo : lo + (1 << 16)].tolist() for c in (at, lat, lon)), strict=True)):
+                nowhere = y != y
+                if self.pieces or k > start:
+                    near = nowhere or not self.count or haversine(self.lat / self.count, self.lon / self.count, y, x) <= km
+                    if t - self.last > gap_s or not near:
+                        self.pieces.append(part[start:k])
+                        yield self.end()
+                        start = k
+                if not self.pieces and k == start:
+                    self.first = t
+                self.last = t
+                if not nowhere:
+                    self.lat, self.lon, self.count = self.lat + y, self.lon + x, self.count + 1
+            self.pieces.append(part[start:])
+
+    def end(self) -> tuple:
+        """The open roll, which ends."""
+        mean = (self.lat / self.count, self.lon / self.count) if self.count else (None, None)
+        out = (np.concatenate(self.pieces), self.first, self.last, *mean)
+        self.pieces, self.lat, self.lon, self.count = [], 0.0, 0.0, 0
+        return out
+
+
+def parted(frame: pd.DataFrame) -> list[np.ndarray]:
+    """Ids, seconds, latitudes and longitudes of a pandas frame, unknown places as NaN; rows without an id only move the time on."""
     frame = frame[frame.asset_id.notna()]
-    return [(int(i), s, None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for i, s, a, b in zip(frame.asset_id, frame.seconds, frame.latitude, frame.longitude, strict=True)]
+    return [frame.asset_id.to_numpy(np.int64), *(frame[c].to_numpy(np.float64, na_value=np.nan) for c in ("seconds", "latitude", "longitude"))]
